@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lumidex.common import json_variant, persisted
 
 #: Cosine a candidate must reach to be looked at more closely.
-THRESHOLD = 0.30
+THRESHOLD = 0.10
 #: Lead the best entry must have over every other entry in the final score.
 MARGIN = 0.005
 #: Surface forms of one index block; longer reference lists go through several blocks.
