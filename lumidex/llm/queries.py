@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumidex.common import json_variant, table
-from lumidex.llm import canonical, nearhash, survivors
+from lumidex.llm import canonical, language, leakage, mixture, nearhash, survivors
 
 
 def p4_found(spark, d):
@@ -30,4 +30,31 @@ def p6_links(spark, d):
     return nearhash.links(table(spark, d, "images"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_consensus, p5_found, p6_found, p6_links)}
+def p7_found(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).filter("n_equal > 0").select("doc_id", "item_id").distinct()
+
+
+def p7_leaks(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_mix(spark, d):
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[0]
+
+
+def p8_shares(spark, d):
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
+
+
+def p9_found(spark, d):
+    return language.mislabelled(table(spark, d, "documents"))
+
+
+def p9_documents(spark, d):
+    return language.document_languages(table(spark, d, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p4_found, p4_consensus, p5_found, p6_found, p6_links, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_documents)
+}
