@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumidex.common import persisted
+from lumidex.common import persisted, spread
 
 RADIUS = 8
 #: (shift, width) of the blocks of a fingerprint.
@@ -162,7 +162,7 @@ def fingerprint_pairs(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT)
     if not 0 <= radius <= RADIUS:
         raise ValueError("three blocks of 2 bits guarantee a radius of 8 at most")
     buckets = persisted(_hot(distinct, hot), "hot")
-    keys = _keys(distinct)
+    keys = _keys(spread(distinct))
     if buckets.isEmpty():
         keyed = keys.select("key", F.lit(0).cast("bigint").alias("sub"), "fp")
     else:
