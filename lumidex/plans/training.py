@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumidex.common import persisted, table
 from lumidex.operators import instants, nested, positions
+from lumidex.plans import catalog
 
 JSON_COLUMNS = ["info", "exif"]
 
@@ -42,3 +43,25 @@ def p3_found(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_catalog, p1_subjects, p1_marks, p2_found, p2_near, p3_found)}
+
+def _tree(column: str) -> str:
+    cell = f"CASE WHEN {column} <> '' AND json_valid({column}) THEN CASE WHEN json_type({column}) = 'VARCHAR' THEN json_extract_string({column}, '$') ELSE {column} END END"
+    node = f"'{column}' || replace(substr(fullkey, 2), chr(34), '')"
+    return f"""SELECT c.id, {node} AS node FROM (SELECT id, {cell} AS cell FROM images) c, json_tree(c.cell) WHERE cell IS NOT NULL AND type = 'OBJECT' AND fullkey <> '$'"""
+
+
+# The nearest enclosing object: an element of a list of objects in an object has the list's owner, found by taking off the list's place, then its key.
+_NODES = f"""WITH n AS ({_tree('info')} UNION ALL {_tree('exif')})
+SELECT id, node, CASE WHEN ends_with(node, ']') THEN regexp_replace(regexp_replace(node, '(\\[\\d+\\])+$', ''), '\\.[^.\\[]+$', '') ELSE regexp_replace(node, '\\.[^.\\[]+$', '') END AS parent FROM n"""
+
+_POSITIONS = catalog._POINTS
+_PLACED = f"""WITH {_POSITIONS},
+circle AS (SELECT p.id, place_id FROM pts p JOIN places c ON c.kind = 'circle'
+  AND 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(c.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - p.lon) / 2), 2)))) <= c.radius_m),
+corner AS (SELECT place_id, generate_subscripts(outline, 1) AS k, unnest(outline) AS c, len(outline) AS m, outline FROM places WHERE kind = 'outline'),
+side AS (SELECT place_id, c.lat AS y1, c.lon AS x1, outline[k % m + 1].lat AS y2, outline[k % m + 1].lon AS x2 FROM corner),
+turned AS (SELECT id, lat, lon + t AS lon FROM pts, (VALUES (-360.0), (0.0), (360.0)) v(t)),
+inside AS (SELECT id, place_id FROM turned p JOIN side s ON (s.x1 > p.lon) <> (s.x2 > p.lon) AND s.y1 + (p.lon - s.x1) * (s.y2 - s.y1) / (s.x2 - s.x1) > p.lat GROUP BY id, place_id, p.lon HAVING count(*) % 2 = 1)
+SELECT id, place_id FROM circle UNION SELECT id, place_id FROM inside"""
+
+SQL = {"p1_found": _NODES, "p2_found": _PLACED}
