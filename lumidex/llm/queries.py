@@ -58,3 +58,19 @@ QUERIES = {
     f.__name__: f
     for f in (p4_found, p4_consensus, p5_found, p6_found, p6_links, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_documents)
 }
+
+_USABLE = "regexp_full_match(lower(dhash), '[0-9a-f]{16}') AND lower(dhash) <> repeat(lower(dhash)[1], 16)"
+_BITS = "CAST('0x' || substr(lower(dhash), 1, 8) AS BIGINT) AS hi, CAST('0x' || substr(lower(dhash), 9, 8) AS BIGINT) AS lo"
+_UNIT = lambda v: f"CASE WHEN regexp_full_match(trim({v}), '[+-]?(\\d+[.,]?\\d*|[.,]\\d+)\\s*%') THEN CAST(replace(regexp_replace(trim({v}), '\\s*%$', ''), ',', '.') AS DOUBLE) / 100.0 WHEN TRY_CAST(replace(trim({v}), ',', '.') AS DOUBLE) > 1 THEN TRY_CAST(replace(trim({v}), ',', '.') AS DOUBLE) / 100.0 ELSE TRY_CAST(replace(trim({v}), ',', '.') AS DOUBLE) END"
+_TIME = " ".join(f"WHEN mtime >= {978307200 * u}::DOUBLE AND mtime < {1767225600 * u}::DOUBLE THEN floor(CAST(mtime AS DECIMAL(38, 6)) / {u})" for u in (1, 1000, 1000000, 1000000000))
+
+SQL = {
+    "p4_found": f"""WITH j AS (SELECT id, lower(dhash) AS k, width, size, mtime, CASE WHEN info <> '' AND json_valid(info) THEN CASE WHEN json_type(info) = 'VARCHAR' THEN json_extract_string(info, '$') ELSE info END END AS i FROM images WHERE {_USABLE}),
+        t AS (SELECT *, json_extract_string(i, '$.sharpness') AS a, json_extract_string(i, '$.scores.sharpness') AS b FROM j),
+        r AS (SELECT id, k, row_number() OVER (PARTITION BY k ORDER BY width DESC NULLS LAST, coalesce({_UNIT('a')}, {_UNIT('b')}) DESC NULLS LAST, size DESC NULLS LAST, CAST(CASE {_TIME} END AS BIGINT) DESC NULLS LAST, id) AS place FROM t)
+        SELECT min(id) AS group_id, min(CASE WHEN place = 1 THEN id END) AS keep_id FROM r GROUP BY k HAVING count(*) > 1""",
+    "p6_found": f"""WITH f AS (SELECT id, {_BITS} FROM images WHERE {_USABLE})
+        SELECT a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.id < b.id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 8""",
+    "p6_links": f"""WITH f AS (SELECT id, lower(dhash) AS d, {_BITS} FROM images WHERE {_USABLE}), n AS (SELECT a.id, count(*) - 1 AS n_links FROM f a JOIN f b ON bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 8 GROUP BY a.id)
+        SELECT f.id, min(f.id) OVER (PARTITION BY d) AS class_id, n_links FROM f JOIN n USING (id)""",
+}
