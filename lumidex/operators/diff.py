@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,18 +25,20 @@ def latest(listing: DataFrame, scan_no: int) -> DataFrame:
     return listing.filter(F.col("scan_no") == scan_no).groupBy("library", "path").agg(newest).select("library", "path", "x.name", "x.size", "x.mtime", "x.ctime")
 
 
-def wanted(listing: DataFrame, libraries: list[tuple[str, list[str]]]) -> DataFrame:
-    """The listed pictures that no ignore glob of their library drops; libraries (name, globs) are the configured ones.
+def dropped(libraries: list[tuple[str, list[str]]]) -> Column:
+    """Whether the ignore globs of its library drop a file; null for libraries that aren't configured.
 
-    Patterns shared by libraries are tested once each, in one pass without a join.
+    Each distinct glob is tested once, whichever libraries share it, without a join.
     """
-    by_patterns: dict[tuple, list[str]] = {}
-    for name, patterns in libraries:
-        by_patterns.setdefault(tuple(globs.clean(patterns)), []).append(name)
-    keep = F.lit(False)
-    for patterns, names in sorted(by_patterns.items()):
-        keep = F.when(F.col("library").isin(names), ~globs.ignored(F.col("path"), list(patterns))).otherwise(keep)
-    return listing.filter(is_image(F.col("name")) & keep)
+    every = sorted({g for _, patterns in libraries for g in globs.clean(patterns)})
+    hits = F.array_compact(F.array(*[F.when(globs.ignored(F.col("path"), [g]), F.lit(g)) for g in every])) if every else F.array().cast("array<string>")
+    own = F.from_json(F.lit(json.dumps({name: globs.clean(patterns) for name, patterns in libraries})), "map<string, array<string>>")[F.col("library")]
+    return F.arrays_overlap(hits, own)
+
+
+def wanted(listing: DataFrame, libraries: list[tuple[str, list[str]]]) -> DataFrame:
+    """The listed pictures of the configured libraries (name, globs) that no ignore glob drops."""
+    return listing.filter(is_image(F.col("name"))).filter(~dropped(libraries))
 
 
 def diff(images: DataFrame, listing: DataFrame, libraries: list[str] | None = None, complete: bool = True) -> DataFrame:

@@ -28,17 +28,31 @@ def bucket() -> Column:
     return F.when(F.col("described") == 0, 0).when((F.col("described") == 1) & (F.col("prompt_ver") < PROMPT_VER), 1)
 
 
-def capture_seconds() -> Column:
-    """When a picture was taken, for ordering: EXIF DateTimeOriginal, else DateTime, on the session's clock, else mtime."""
-    exif = json_variant("exif")
-    read = lambda f: F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(F.try_variant_get(exif, f"$.{f}", "string"), r"(?<=\S)\s+(?=\S)", " "), F.lit("yyyy:M:d H:m:s"))).cast("double")
+_WRITTEN = r"\A(\d{4}):(\d{1,2}):(\d{1,2})\s+(\d{1,2}):(\d{1,2}):(\d{1,2})\z"
+
+
+def capture_seconds(exif: Column) -> Column:
+    """When a picture was taken, for ordering: DateTimeOriginal, else DateTime of the exif VARIANT, on the session's clock, else mtime.
+
+    The parts are cut out by pattern: parsing by format would raise and catch an exception
+    for every date in another notation.
+    """
+
+    def read(field: str) -> Column:
+        text = F.try_variant_get(exif, f"$.{field}", "string")
+        part = lambda k: F.regexp_extract(text, _WRITTEN, k).cast("int")
+        taken = F.try_make_timestamp(*[part(k) for k in range(1, 6)], part(6).cast("decimal(8,6)"))
+        return F.when(text.rlike(_WRITTEN), F.unix_timestamp(taken).cast("double"))
+
     return F.coalesce(read("DateTimeOriginal"), read("DateTime"), F.col("mtime"))
 
 
 def pending(images: DataFrame, newest_first: bool = False) -> DataFrame:
     """(bucket, id, library, path) to describe: fresh before stale, each in the order of id, or newest first."""
-    order = [F.col("bucket"), *([F.desc(capture_seconds())] if newest_first else []), F.col("id")]
+    order = [F.col("bucket"), *([F.desc("seconds")] if newest_first else []), F.col("id")]
     rows = images.withColumn("bucket", bucket()).filter(F.col("bucket").isNotNull())
+    if newest_first:
+        rows = rows.withColumn("v", json_variant("exif")).withColumn("seconds", capture_seconds(F.col("v")))
     return rows.orderBy(*order).select("bucket", "id", "library", "path")
 
 

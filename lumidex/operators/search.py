@@ -9,6 +9,8 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumidex.common import spread
+
 ALL_LIBRARIES = "__all__"
 LIMIT = 500
 #: Queries evaluated in one pass over the rows; more are taken in blocks.
@@ -55,7 +57,7 @@ def index(images: DataFrame) -> DataFrame:
 
 def search_many(images: DataFrame, queries: dict[int, str], id_col: str = "id", text: str = "search_text") -> DataFrame:
     """(query_id, id) for a stated set of queries, held against all rows in blocks: one pass per block, no join."""
-    found = None
+    found, images = None, spread(images.select(id_col, text))
     ordered = sorted(queries.items())
     for at in range(0, max(len(ordered), 1), BLOCK_QUERIES):
         block = [{"q": k, "terms": terms(q)} for k, q in ordered[at : at + BLOCK_QUERIES]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumidex.common import json_variant, persisted, table
-from lumidex.functions import globs, scalars
+from lumidex.functions import scalars
 from lumidex.operators import describe, diff, export, mapview, positions, progress, search, stacks
 
 SCAN = 3
@@ -151,7 +151,8 @@ def pending_newest_first(spark, d):
 
 @query(f"WITH {_EXIF} SELECT id, coalesce(CASE WHEN regexp_full_match(json_extract_string(e, '$.DateTimeOriginal'), '\\S.*\\S') THEN epoch(try_strptime(json_extract_string(e, '$.DateTimeOriginal'), '%Y:%m:%d %H:%M:%S')) END, CASE WHEN regexp_full_match(json_extract_string(e, '$.DateTime'), '\\S.*\\S') THEN epoch(try_strptime(json_extract_string(e, '$.DateTime'), '%Y:%m:%d %H:%M:%S')) END, mtime) AS seconds FROM ex")
 def capture_order(spark, d):
-    return images(spark, d).select("id", progress.capture_seconds().alias("seconds"))
+    rows = images(spark, d).select("id", "mtime", json_variant("exif").alias("v"))
+    return rows.select("id", progress.capture_seconds(F.col("v")).alias("seconds"))
 
 
 @query("SELECT vec_id, lower(lpad(printf('%x', list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 1] > embedding[i + 2] THEN CAST(pow(2, 31 - i) AS BIGINT) ELSE 0 END))::BIGINT), 8, '0') || lpad(printf('%x', list_sum(list_transform(range(32, 64), lambda i: CASE WHEN embedding[i + 1] > embedding[(i + 1) % 64 + 1] THEN CAST(pow(2, 63 - i) AS BIGINT) ELSE 0 END))::BIGINT), 8, '0')) AS dhash FROM embeddings")
@@ -191,9 +192,7 @@ def missing_hashes(spark, d):
 @query(f"WITH {_LISTING} SELECT library, path, dropped FROM flagged")
 def ignore_globs(spark, d):
     rows = diff.latest(table(spark, d, "file_listing"), SCAN)
-    dropped = F.lit(None).cast("boolean")
-    for name, patterns in config(spark, d):
-        dropped = F.when(F.col("library") == name, globs.ignored(F.col("path"), patterns)).otherwise(dropped)
+    dropped = diff.dropped(config(spark, d))
     return rows.select("library", "path", dropped.alias("dropped"))
 
 
