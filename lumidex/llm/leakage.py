@@ -80,11 +80,11 @@ def simhash(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash for each run of `size` words."""
-    n = len(hashes) - size + 1
-    out = np.zeros(n, np.uint64)
+    """A hash for each run of `size` words, along the last axis."""
+    n = hashes.shape[-1] - size + 1
+    out = np.zeros((*hashes.shape[:-1], n), np.uint64)
     for k in range(size):
-        out = (out ^ hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ hashes[..., k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out
 
@@ -174,8 +174,7 @@ class Index:
     def similarity(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Weighted Jaccard similarity of the shingle sets of windows a[k] and b[k]."""
         size = min(SHINGLE, a.shape[1])
-        sa = np.stack([shingles(np.ascontiguousarray(r), size) for r in a])
-        sb = np.stack([shingles(np.ascontiguousarray(r), size) for r in b])
+        sa, sb = shingles(a, size), shingles(b, size)
         again = lambda s: (s[:, :, None] == s[:, None, :]) & np.tri(s.shape[1], k=-1, dtype=bool)
         wa = np.where(again(sa).any(axis=2), 0.0, self.weight(sa))
         wb = np.where(again(sb).any(axis=2), 0.0, self.weight(sb))
