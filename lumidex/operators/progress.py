@@ -19,7 +19,8 @@ def counts(images: DataFrame, total: bool = False) -> DataFrame:
     aggregates = [F.count("*").alias("total"), F.coalesce(F.sum("described"), F.lit(0)).alias("described"), F.coalesce(done, F.lit(0)).alias("current")]
     grouped = images.groupBy("library").agg(*aggregates)
     if total:
-        grouped = images.rollup("library").agg(*aggregates, F.grouping("library").alias("whole")).withColumn("library", F.when(F.col("whole") == 1, "(all)").otherwise(F.col("library"))).drop("whole")
+        whole = grouped.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "described", "current")])
+        grouped = grouped.unionByName(whole.withColumn("library", F.lit("(all)")))
     return grouped.select("library", "described", "current", (F.col("total") - F.col("current")).alias("left"), "total", percent(F.col("current"), F.col("total")).alias("done"))
 
 

@@ -62,7 +62,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def binary_files(spark: SparkSession, library: str, root: str, content: bool = False) -> DataFrame:
-    """The same listing of one library by Spark's own file source, with the bytes as `content` if asked; ctime is not known."""
+    """The same listing of one library by Spark's own file source, with the bytes as `content` if asked; ctime is not known, and empty files are not listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
     full = F.regexp_replace("path", r"\A[a-z0-9]+:/*", "/")
     relative = F.substring(full, len(os.path.abspath(root)) + 2, 2**31 - 1)

@@ -1,0 +1,141 @@
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from lumidex.common import json_variant
+from lumidex.operators import describe as D
+from lumidex.operators import progress
+from lumidex.schema import migrate
+from lumidex.sources import listing, pictures, site
+from lumidex.streaming import listing as stream
+
+GOOD = {"description": " d ", "subjects": ["a", 1, None, " "], "text": 5, "tags": "one", "colors": {}, **dict.fromkeys(D.SCORES, 0.5)}
+
+
+def test_replies_parse():
+    got = D.parse_reply("Sure!\n```json\n" + json.dumps(GOOD) + "\n```")
+    assert got["description"] == "d" and got["subjects"] == ["a", "1", "None"] and got["text"] == "" and got["tags"] == ["one"] and got["colors"] == []
+    assert D.parse_reply(json.dumps(GOOD | {"sharpness": 1.2}))["sharpness"] == 1.0 and D.parse_reply(json.dumps(GOOD | {"sharpness": -3}))["sharpness"] == 0.0
+    assert D.parse_reply(json.dumps(GOOD).replace("0.5", "NaN", 1))["aesthetic_score"] == 1.0
+    assert D.parse_reply('{"description": "x", ' + json.dumps(GOOD)[1:])["description"] == "d"
+    for bad in ("", "no braces", "} {", json.dumps(GOOD) + " {}", "[" + json.dumps(GOOD) + ", {}]", json.dumps(GOOD | {"description": " "}), json.dumps(GOOD | {"sharpness": True}), json.dumps(GOOD | {"sharpness": "0.5"}), json.dumps(GOOD | {"sharpness": None})):
+        with pytest.raises(ValueError):
+            D.parse_reply(bad)
+    assert D.string_list(True) == [] and D.string_list([True, 1.0]) == ["True", "1.0"]
+    assert sorted(D.reply_schema()["required"]) == sorted(GOOD)
+
+
+def test_replies_as_rows(spark):
+    rows = spark.createDataFrame([(1, json.dumps(GOOD)), (2, None), (3, "{}"), (4, "{" * 10_000)], "id bigint, reply string")
+    got = {r["id"]: r for r in D.parse_replies(rows).collect()}
+    assert got[1]["info"]["tags"] == ["one"] and got[1]["error"] is None and all(got[k]["info"] is None and got[k]["error"] for k in (2, 3, 4))
+    assert D.parse_replies(rows.limit(0)).count() == 0
+    spans = [("a {b} c } d", "{b} c }"), ("none", ""), ("} {", ""), ("{x\ny}", "{x\ny}")]
+    assert all(r["s"] == r["w"] for r in spark.createDataFrame(spans, "t string, w string").select("w", D.json_span(F.col("t")).alias("s")).collect())
+
+
+def test_requests_and_responses():
+    for kind, part in (("openai", "/chat/completions"), ("claude", "/v1/messages"), ("ollama", "/api/chat")):
+        url, headers, payload = D.request(D.Endpoint(kind=kind, base_url="http://h/", api_key="k", model="m"), "p", b"x", "image/png", D.reply_schema())
+        assert url == "http://h" + part and payload["model"] == "m" and "eA==" in json.dumps(payload)
+    with pytest.raises(ValueError):
+        D.request(D.Endpoint(kind="other"), "p", b"", "image/png")
+    lines = [b"data: " + json.dumps({"choices": [{"delta": {"content": c}}]}).encode() for c in (" he", "llo ", None)]
+    assert D.reply_text("openai", [b": note", *lines, b"data: {}", b"data: broken", b"data: [DONE]", lines[0]]) == "hello"
+    assert D.reply_text("claude", {"content": [{"text": " x "}]}) == "x" and D.reply_text("ollama", {"message": {"content": " y "}}) == "y"
+    ends = D.endpoints({"endpoint": [{"model": "a", "zone": 1}, {"model": ""}, 5, {"kind": "ollama", "model": "b"}]})
+    assert [(e.model, e.kind) for e in ends] == [("a", "openai"), ("b", "ollama")] and ends[0].extra == {"zone": 1} and D.endpoints({}) == []
+
+
+def test_describe_pass_retries_and_stores(spark, tmp_path):
+    marks = str(tmp_path)
+
+    def call(end, prompt, i, library, path):
+        import os
+
+        tries = os.path.join(marks, f"{i}")
+        with open(tries, "a") as f:
+            f.write("x")
+        if i == 1 and os.path.getsize(tries) < 3:
+            raise OSError("busy")
+        return "not JSON" if i == 2 else json.dumps(GOOD | {"subjects": ["S"]})
+
+    images = migrate(spark.createDataFrame([(1, "L", "p/a", "a", 0, 0, ""), (2, "L", "p/b", "b", 1, 3, "OLD"), (3, "L", "p/c", "c", 1, 4, "KEEP")], "id bigint, library string, path string, name string, described int, prompt_ver int, info string"))
+    calls = []
+    results = D.describe(progress.pending(images), call, [D.Endpoint(model="m")], before=lambda: calls.append("b"), after=lambda: calls.append("a")).cache()
+    got = {r["id"]: r["error"] for r in results.collect()}
+    assert got[1] is None and got[2] and set(got) == {1, 2} and calls == ["b", "a"]
+    assert [len(open(f"{marks}/{i}").read()) for i in (1, 2)] == [3, D.ATTEMPTS]
+    rows = {r["id"]: r for r in D.store(images, results).collect()}
+    assert rows[1]["described"] == 1 and rows[1]["prompt_ver"] == 4 and json.loads(rows[1]["info"])["_model_name"] == "m" and rows[1]["search_text"] == "a p/a d  s one"
+    assert rows[2]["info"] == "OLD" and rows[2]["prompt_ver"] == 3 and rows[3]["info"] == "KEEP"
+    assert D.describe(progress.pending(images), call, [D.Endpoint(model="m")], stop=lambda: True).count() == 0
+    with pytest.raises(ValueError):
+        D.describe(images, call, [])
+
+
+def test_progress(spark):
+    images = spark.createDataFrame([("A", 1, 4), ("A", 1, 3), ("A", 0, 0), ("B", 0, 4)], "library string, described int, prompt_ver int")
+    rows = {r["library"]: tuple(r)[1:] for r in progress.counts(images, total=True).collect()}
+    assert rows == {"A": (2, 1, 2, 3, "33.33%"), "B": (0, 0, 1, 1, "-"), "(all)": (2, 1, 3, 4, "25.00%")}
+    assert [tuple(r) for r in progress.counts(images.limit(0), total=True).collect()] == [("(all)", 0, 0, 0, 0, "-")]
+    assert progress.counts(images.limit(0)).count() == 0
+    text = progress.grid(["name", "n"], [["a", 1_234], ["bbbbbb", 0]])
+    assert text.splitlines() == [" name  |   n", "-------+------", "a      | 1,234", "bbbbbb |     -"] or "1,234" in text and text.splitlines()[-1].endswith("-")
+
+
+def test_pending_order(spark):
+    rows = [(1, 1, 3, 5.0, '{"DateTimeOriginal": "2020:1:2 03:04:05"}'), (2, 0, 0, 1e9, ""), (3, 0, 0, 2e9, "{"), (4, 1, 4, 0.0, ""), (5, 0, 9, None, '{"DateTimeOriginal": "x", "DateTime": "2040:01:01 00:00:00"}')]
+    df = spark.createDataFrame(rows, "id bigint, described int, prompt_ver int, mtime double, exif string").withColumns({"library": F.lit("L"), "path": F.lit("p")})
+    assert [r["id"] for r in progress.pending(df).collect()] == [2, 3, 5, 1]
+    assert [r["id"] for r in progress.pending(df, newest_first=True).collect()] == [5, 3, 2, 1]
+
+
+def test_score_facts(spark):
+    df = spark.createDataFrame([(1, '{"sharpness": 0.456, "aesthetic_score": 1, "exposure_score": "0.5", "watermark_score": null}'), (2, "{"), (3, None)], "id bigint, info string")
+    got = {r["id"]: [(s["label"], s["text"]) for s in r["s"]] if r["s"] else [] for r in df.select("id", D.scores(json_variant("info")).alias("s")).collect()}
+    assert got == {1: [("aesthetic_score", "1.00"), ("sharpness", "0.46")], 2: [], 3: []}
+
+
+def test_listing_sources(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "x.JPG").write_bytes(b"123")
+    (tmp_path / "y.png").write_bytes(b"")
+    rows = {r["path"]: (r["name"], r["size"]) for r in listing.walk(spark, [("L", str(tmp_path))]).collect()}
+    assert rows == {"a/b/x.JPG": ("x.JPG", 3), "y.png": ("y.png", 0)}
+    files = {r["path"]: (r["name"], r["size"]) for r in listing.binary_files(spark, "L", str(tmp_path)).collect()}
+    assert files == {"a/b/x.JPG": ("x.JPG", 3)}
+    made = listing.walk(spark, [("L", "/nowhere")], walker=lambda root: iter([(root, [], ["z.gif"])]), stat=lambda path: (9, 1.0, 2.0))
+    assert [tuple(r) for r in made.collect()] == [("L", "z.gif", "z.gif", 9, 1.0, 2.0)]
+    assert listing.walk(spark, [("L", str(tmp_path / "missing"))]).count() == 0
+    assert listing.walk(spark, [("L", "/nowhere")], walker=lambda root: iter([(root, [], ["z.gif"])])).first()["size"] is None
+
+
+def test_pictures_in_error_have_no_hash(spark):
+    got = pictures.decode(spark.createDataFrame([(1, bytearray(b"not a picture")), (2, None)], "id bigint, content binary")).collect()
+    assert all(r["error"] and r["dhash"] is None and r["width"] is None for r in got) and len(got) == 2
+    assert pictures.clean(b"a\0b ") == "ab" and pictures.clean(2.0) == 2 and pictures.clean(0.123456789) == 0.123457 and pictures.clean((1, "x")) == [1, "x"] and pictures.clean(float("nan")) == "nan"
+
+
+def test_config(tmp_path):
+    path = str(tmp_path / "c.json")
+    assert site.load_config(path) == site.DEFAULTS and site.load_config(path) is not site.DEFAULTS
+    site.save_config(path, {"endpoint": [{"model": "m"}], "own": 1})
+    loaded = site.load_config(path)
+    assert loaded["endpoint"] == [{"kind": "openai", "base_url": "", "api_key": "", "model": "m"}] and loaded["own"] == 1 and loaded["libraries"] == []
+
+
+def test_listing_stream_drops_repeats(spark, small, tmp_path):
+    source = f"{tmp_path}/in"
+    spark.read.parquet(f"{small}/file_listing.parquet").repartition(3).write.parquet(source)
+    fresh = stream.fresh(stream.read(spark, source))
+    job = fresh.writeStream.format("memory").queryName("fresh").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
+    job.awaitTermination(120)
+    keys = ["scan_no", "library", "path", "size", "mtime", "seen_at"]
+    assert spark.table("fresh").count() == spark.read.parquet(source).dropDuplicates(keys).count() < spark.read.parquet(source).count()
+    counts = stream.arrivals(stream.read(spark, source)).writeStream.format("memory").outputMode("complete").queryName("arrivals").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
+    counts.awaitTermination(120)
+    assert spark.table("arrivals").agg(F.sum("n")).first()[0] == spark.read.parquet(source).count()
