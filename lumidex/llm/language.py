@@ -128,11 +128,15 @@ class Filters:
         return out
 
 
-def decide(score: np.ndarray) -> tuple[str, float]:
-    """Language and confidence, the lead over the next in 0..1; ('und', 0) when no n-gram is known."""
-    order = np.argsort(-score, kind="stable")
-    best, second = score[order[0]], score[order[1]]
-    return ("und", 0.0) if best <= 0 else (LANGUAGES[order[0]], float((best - second) / best))
+def decide(scores: np.ndarray) -> tuple[list[str], list[float]]:
+    """Language and confidence, the lead over the next in 0..1, of each row; ('und', 0) when no n-gram is known. Ties go to the first language."""
+    rows = np.arange(len(scores))
+    first = scores.argmax(axis=1)
+    best = scores[rows, first]
+    rest = scores.copy()
+    rest[rows, first] = -1.0
+    sure = np.where(best > 0, (best - np.maximum(rest.max(axis=1, initial=0.0), 0.0)) / np.where(best > 0, best, 1.0), 0.0)
+    return [LANGUAGES[k] if x > 0 else "und" for k, x in zip(first, best)], np.round(sure, 6).tolist()
 
 
 def fit(lines: list[tuple[str, str]]) -> Filters:
@@ -192,11 +196,8 @@ def segment_languages(documents: DataFrame, filters: Filters | None = None) -> D
         judge = shipped.value
         for b in batches:
             parts = [(i, no, line, label) for i, text, label in zip(*(b.column(k).to_pylist() for k in range(3))) for no, line in enumerate(segments(text))]
-            scores = judge.scores([words(line) for _, _, line, _ in parts])
-            rows = []
-            for (i, no, line, label), score in zip(parts, scores):
-                lang, sure = decide(score)
-                rows.append((i, no, len(_WORD.findall(line)), lang, round(sure, 6), label))
+            langs, sure = decide(judge.scores([words(line) for _, _, line, _ in parts]))
+            rows = [(i, no, len(_WORD.findall(line)), lang, x, label) for (i, no, line, label), lang, x in zip(parts, langs, sure)]
             columns = zip(*rows) if rows else [[] for _ in schema]
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
