@@ -28,7 +28,7 @@ UNITS = (1, 1_000, 1_000_000, 1_000_000_000)
 # English month names, by their first three letters.
 MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 
-_TIME = r"(?P<h>\d{1,2}):(?P<mi>\d{1,2})(?::(?P<s>\d{1,2})(?:[.,]\d+)?)?(?:\s?(?P<ap>[AaPp])\.?[Mm]\.?)?"
+_TIME = r"(?P<h>\d{1,2}):(?P<mi>\d{1,2})(?::(?P<s>\d{1,2})(?:[.,]\d+)?)?(?:\s?(?P<ap>[AaPp])\.?[Mm]\b\.?)?"
 _ZONE = r"\s?(?P<zone>(?:UTC|GMT)?[+-]\d{1,2}(?::?\d{2})?|[A-Za-z][A-Za-z0-9_+\-/]*)?\s?(?:\[(?P<place>[A-Za-z0-9_+\-/]+)\])?"
 _MONTH = r"(?P<mon>[A-Za-z]{3,9})\.?"
 _DAY_NAME = r"(?:[A-Za-z]{3,9},? )?"

@@ -16,7 +16,7 @@ CASES = [
     ("20201021T140747Z", None, 1603289267), ("1411557068716", None, 1411557068), ("1411557068", None, 1411557068), ("Jun 17, 2017 2:40:12 AM", "UTC", 1497667212),
     ("Sep 20, 2017 12:34:45 AM", "UTC", 1505867685), ("Wed Oct 21 16:07:47 2020", "UTC", 1603296467), ("Tue, 27 Sep 2022 22:00:34 +0545", None, 1664295334),
     ("23 December 2022, 4:45 am", "UTC", 1671770700), ("2022-11-16T07:46:57+05:45[Asia/Kathmandu]", "UTC", 1668564117), (" 2018:02:09  14:42:45 ", "UTC", 1518187365),
-    ("2016:10:17 13:52:28+11", None, 1476672748), ("2013-06-25 19:48:31 Australia/Brisbane", None, 1372153711), ("2022:06:20 17:49:48.999999", "UTC", 1655747388),
+    ("2016:10:17 13:52:28+11", None, 1476672748), ("2013-06-25 19:48:31 Australia/Brisbane", None, 1372153711), ("2020-04-25 19:04:27 America/Los_Angeles", "UTC", 1587866667), ("2020-04-25 07:04:27 p.m. America/Los_Angeles", "UTC", 1587866667), ("2022:06:20 17:49:48.999999", "UTC", 1655747388),
     ("2016:09:13", "UTC", None), ("2016", "UTC", None), ("2016-09", "UTC", None), ("not set", "UTC", None), ("    :  :     :  :  ", "UTC", None), ("", "UTC", None),
     ("2016:02:30 10:00:00", "UTC", None), ("2016:13:01 10:00:00", "UTC", None), ("2016:01:01 24:00:00", "UTC", None), ("2016:01:01 10:60:00", "UTC", None),
     ("2016:01:01 10:00:60", "UTC", None), ("Jun 17, 2017 13:40:12 AM", "UTC", None), ("2016:01:01 10:00:00", None, None), ("2016:01:01 10:00:00", "Nowhere/Land", None),
