@@ -31,16 +31,32 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or own
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/lumidex-{spark.sparkContext.applicationId}"
+
+
 def persisted(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and survives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_persisted(spark: SparkSession) -> None:
+    """Delete what this application persisted; call it when its DataFrames are no longer read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a Python stage at least one partition per core where the input has fewer files."""
+    """Give a Python stage at least one partition per core where the input has fewer files.
+
+    Inputs that end in a shuffle are left alone: their partitions are known only by running them.
+    """
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

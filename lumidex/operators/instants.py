@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumidex.common import json_variant, shared_dir
+from lumidex.common import json_variant, own_dir
 
 # The instants accepted are those of 2001..2025 (UTC).
 FIRST_S = 978_307_200
@@ -128,7 +128,7 @@ def dictionary(values: DataFrame, path: str | None = None) -> DataFrame:
     spark.checkpoint.dir is used. Null raw values are left out; a null zone is a key of its own.
     """
     spark = values.sparkSession
-    at = path or f"{shared_dir(spark)}/instants-{uuid.uuid4().hex}"
+    at = path or f"{own_dir(spark)}/instants-{uuid.uuid4().hex}"
     ddl = "raw string, zone string, epoch_s bigint"
     fresh = values.select("raw", "zone").filter(F.col("raw").isNotNull()).distinct()
     known = _read(spark, at, ddl)
