@@ -34,7 +34,7 @@ RADIUS = 7
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Characters of items in one index block.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 500_000
 #: Windows fingerprinted at once.
 SLICE = 65_536
 
