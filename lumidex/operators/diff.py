@@ -102,3 +102,11 @@ def compact(entries: DataFrame) -> DataFrame:
     """(shard, offset, length, new_offset): where each kept thumbnail of the given shards lies after compaction, in offset order."""
     own = Window.partitionBy("shard").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
     return entries.withColumn("new_offset", F.coalesce(F.sum("length").over(own), F.lit(0)))
+
+
+def backfill_hashes(images: DataFrame, decoded: DataFrame) -> DataFrame:
+    """The catalog with hashes filled in where they were blank, from decoded (id, dhash, error); unreadable pictures stay blank."""
+    new = decoded.filter(F.col("error").isNull()).select(F.col("id").alias("_id"), F.col("dhash").alias("_dhash"))
+    rows = images.join(new, F.col("id") == F.col("_id"), "left")
+    filled = F.when((F.coalesce("dhash", F.lit("")) == "") & F.col("_dhash").isNotNull(), F.col("_dhash")).otherwise(F.col("dhash"))
+    return rows.select(*[filled.alias(c) if c == "dhash" else F.col(c) for c in images.columns])

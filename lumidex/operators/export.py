@@ -104,3 +104,41 @@ def write_site(records: DataFrame, planned: DataFrame, output: str) -> None:
     rows.repartition("shard").sortWithinPartitions("shard", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").json(f"{output}/data")
     place = F.row_number().over(Window.partitionBy("shard").orderBy("id")) - 1
     planned.filter(F.col("id").isNotNull()).withColumn("pos", place).write.mode("overwrite").parquet(f"{output}/state-next")
+
+
+def copy_originals(images: DataFrame, roots: dict[str, str], output: str, convert=None) -> DataFrame:
+    """(id, file, status) after copying each original into `output`/images, on the executors: copied, kept, missing or failed.
+
+    A copy as new as its source is kept. HEIC goes through convert (bytes to JPEG bytes);
+    without one it fails. output is a folder all executors share.
+    """
+    import os
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def one(library: str, path: str, file: str) -> str:
+        source, target = f"{roots.get(library, '')}/{path}", f"{output}/{file}"
+        if library not in roots or not os.path.exists(source):
+            return "missing"
+        if os.path.exists(target) and os.path.getmtime(target) >= os.path.getmtime(source):
+            return "kept"
+        try:
+            with open(source, "rb") as f:
+                content = f.read()
+            if path.lower().endswith(".heic"):
+                content = convert(content)
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            with open(f"{target}.part", "wb") as f:
+                f.write(content)
+            os.replace(f"{target}.part", target)
+        except Exception:  # noqa: BLE001 - one bad file must not end the export
+            return "failed"
+        return "copied"
+
+    def kernel(frames: Iterator[pd.DataFrame]):
+        for f in frames:
+            yield f[["id", "file"]].assign(status=[one(*r) for r in f[["library", "path", "file"]].itertuples(index=False)])
+
+    name = F.concat(F.lit("images/"), F.col("id").cast("string"), F.lit("."), export_extension(F.col("name")))
+    return images.select("id", "library", "path", name.alias("file")).mapInPandas(kernel, "id bigint, file string, status string")
