@@ -215,7 +215,8 @@ def links(images: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     members = persisted(fingerprints(images).distinct(), "fingerprints")
     counted = persisted(members.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("class_id")), "distinct")
     pairs = fingerprint_pairs(counted.select("fp"), radius, hot)
-    both = pairs.unionByName(pairs.select(F.col("fp_b").alias("fp_a"), F.col("fp_a").alias("fp_b")))
+    ends = F.array(F.struct(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")), F.struct(F.col("fp_b").alias("a"), F.col("fp_a").alias("b")))
+    both = pairs.select(F.explode(ends).alias("e")).select(F.col("e.a").alias("fp_a"), F.col("e.b").alias("fp_b"))
     others = both.join(counted.select(F.col("fp").alias("fp_b"), "n"), "fp_b").groupBy("fp_a").agg(F.sum("n").alias("far"))
     classes = counted.join(others, F.col("fp") == F.col("fp_a"), "left").select("fp", "class_id", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
     return members.join(classes, "fp").select("id", "class_id", "n_links")
