@@ -157,7 +157,9 @@ def tile_boxes(spark: SparkSession, max_zoom: int, width: int, height: int) -> D
 
 
 def in_pyramid(z: Column, x: Column, y: Column) -> Column:
-    return (x >= 0) & (x < F.expr("shiftleft(1, 1)") * F.pow(F.lit(2), z)) & (y >= 0) & (y < F.pow(F.lit(2), z))
+    """Whether a tile exists: twice as many columns as rows, which double with each zoom."""
+    rows = F.pow(F.lit(2), z)
+    return (x >= 0) & (x < rows * 2) & (y >= 0) & (y < rows)
 
 
 def visible_tiles(views: DataFrame) -> DataFrame:

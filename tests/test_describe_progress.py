@@ -50,6 +50,22 @@ def test_requests_and_responses():
     assert [(e.model, e.kind) for e in ends] == [("a", "openai"), ("b", "ollama")] and ends[0].extra == {"zone": 1} and D.endpoints({}) == []
 
 
+def test_served_model():
+    local = D.Endpoint(base_url="http://h/v1", model="m")
+    asked = []
+
+    def fetch(url):
+        asked.append(url)
+        if url.endswith("/v1/props") or len(asked) < 4:
+            raise OSError("busy")
+        return {"model_path": "a\\b/c.gguf"}
+
+    assert D.served_model(local, fetch) == "c.gguf" and asked[:2] == ["http://h/v1/props", "http://h/props"]
+    assert D.served_model(D.Endpoint(kind="ollama", base_url="x", model="m"), fetch) == "m" == D.served_model(D.Endpoint(model="m"), fetch)
+    with pytest.raises(RuntimeError):
+        D.served_model(local, lambda url: {})
+
+
 def test_describe_pass_retries_and_stores(spark, tmp_path):
     marks = str(tmp_path)
 
