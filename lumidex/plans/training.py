@@ -64,4 +64,22 @@ turned AS (SELECT id, lat, lon + t AS lon FROM pts, (VALUES (-360.0), (0.0), (36
 inside AS (SELECT id, place_id FROM turned p JOIN side s ON (s.x1 > p.lon) <> (s.x2 > p.lon) AND s.y1 + (p.lon - s.x1) * (s.y2 - s.y1) / (s.x2 - s.x1) > p.lat GROUP BY id, place_id, p.lon HAVING count(*) % 2 = 1)
 SELECT id, place_id FROM circle UNION SELECT id, place_id FROM inside"""
 
-SQL = {"p1_found": _NODES, "p2_found": _PLACED}
+_UNIT = lambda v: "CASE " + " ".join(f"WHEN {v} >= {978307200 * u}::DOUBLE AND {v} < {1767225600 * u}::DOUBLE THEN CAST(CAST(trunc({v}) AS HUGEINT) // {u} AS BIGINT)" for u in (1, 10**3, 10**6, 10**9)) + " END"
+_FORMS = "['%Y:%m:%d %H:%M:%S', '%Y/%m/%d %H:%M', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%d.%m.%Y %H:%M:%S', '%Y%m%d_%H%M%S', '%Y%m%dT%H%M%S', '%b %d, %Y %I:%M:%S %p', '%a %b %d %H:%M:%S %Y', '%Y-%m-%dT%H:%M', '%a, %d %b %Y %H:%M:%S', '%d %B %Y, %I:%M %p']"
+_ZONE = "^(.*?(?:\\d:\\d{1,2}|[T_]\\d{6}))(\\.\\d+)? ?(Z|UTC|GMT|[A-Z][A-Za-z]+/[A-Za-z_]+|[+-]\\d{2}:?(?:\\d{2})?)?(\\[.*\\])?$"
+_INSTANTS = f"""WITH {catalog._EXIF}, zones AS (SELECT name, max(tz) AS tz FROM libraries GROUP BY name),
+f AS (SELECT ex.id, field_name, tz, trim(regexp_replace(json_extract_string(e, '$.' || field_name), '\\s+', ' ', 'g')) AS t FROM ex JOIN images i ON i.id = ex.id LEFT JOIN zones ON zones.name = i.library, (VALUES ('DateTimeOriginal'), ('DateTime')) v(field_name)),
+p AS (SELECT *, regexp_extract(t, '{_ZONE}', 1) AS clock, regexp_extract(t, '{_ZONE}', 3) AS z FROM f WHERE t IS NOT NULL),
+l AS (SELECT *, try_strptime(CASE WHEN clock = '' OR regexp_matches(t, '[APap][Mm]$|:\\d\\d \\d{{4}}$') THEN t ELSE clock END, {_FORMS}) AS wall,
+  CASE WHEN z IN ('Z', 'UTC', 'GMT') THEN 0 WHEN regexp_matches(z, '^[+-]') THEN CASE WHEN z[1] = '-' THEN -1 ELSE 1 END * (CAST(substr(z, 2, 2) AS INTEGER) * 3600 + coalesce(TRY_CAST(regexp_extract(z, '^[+-]\\d\\d:?(\\d\\d)$', 1) AS INTEGER), 0) * 60) END AS shift, CASE WHEN contains(z, '/') THEN z ELSE tz END AS place FROM p),
+u AS (SELECT *, CASE WHEN shift IS NULL AND place IS NOT NULL THEN timezone(place, wall) END AS x FROM l),
+r AS (SELECT id, field_name, CASE WHEN regexp_full_match(t, '\\d{{9,19}}') THEN {_UNIT("CAST(t AS DOUBLE)")} WHEN shift IS NOT NULL THEN CAST(epoch(wall) AS BIGINT) - shift
+  WHEN timezone(place, x) = wall AND timezone(place, x - INTERVAL 1 HOUR) <> wall AND timezone(place, x + INTERVAL 1 HOUR) <> wall AND timezone(place, x - INTERVAL 30 MINUTE) <> wall AND timezone(place, x + INTERVAL 30 MINUTE) <> wall THEN CAST(epoch(x) AS BIGINT) END AS epoch_s FROM u
+  UNION ALL SELECT id, 'mtime', {_UNIT("mtime")} FROM images)
+SELECT id, field_name, epoch_s FROM r WHERE epoch_s >= 978307200 AND epoch_s < 1767225600"""
+
+_NEAR = f"""WITH {_POSITIONS}, far AS (SELECT q.id, 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(p.lat - q.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(p.lon - q.lon) / 2), 2)))) AS m FROM pts q JOIN pts p ON q.id % 100 = 0 AND p.id <> q.id),
+n AS (SELECT id, count(*) AS n_near, min(m) AS m FROM far WHERE m <= 1000.0 GROUP BY id)
+SELECT pts.id, coalesce(n_near, 0) AS n_near, round(m, 3) AS nearest_m FROM pts LEFT JOIN n USING (id) WHERE pts.id % 100 = 0"""
+
+SQL = {"p1_found": _NODES, "p2_found": _PLACED, "p2_near": _NEAR, "p3_found": _INSTANTS}
