@@ -62,9 +62,17 @@ QUERIES = {
 _USABLE = "regexp_full_match(lower(dhash), '[0-9a-f]{16}') AND lower(dhash) <> repeat(lower(dhash)[1], 16)"
 _BITS = "CAST('0x' || substr(lower(dhash), 1, 8) AS BIGINT) AS hi, CAST('0x' || substr(lower(dhash), 9, 8) AS BIGINT) AS lo"
 _UNIT = lambda v: f"CASE WHEN regexp_full_match(trim({v}), '[+-]?(\\d+[.,]?\\d*|[.,]\\d+)\\s*%') THEN CAST(replace(regexp_replace(trim({v}), '\\s*%$', ''), ',', '.') AS DOUBLE) / 100.0 WHEN TRY_CAST(replace(trim({v}), ',', '.') AS DOUBLE) > 1 THEN TRY_CAST(replace(trim({v}), ',', '.') AS DOUBLE) / 100.0 ELSE TRY_CAST(replace(trim({v}), ',', '.') AS DOUBLE) END"
-_TIME = " ".join(f"WHEN mtime >= {978307200 * u}::DOUBLE AND mtime < {1767225600 * u}::DOUBLE THEN floor(CAST(mtime AS DECIMAL(38, 6)) / {u})" for u in (1, 1000, 1000000, 1000000000))
+_TIME = " ".join(f"WHEN mtime >= {978307200 * u}::DOUBLE AND mtime < {1767225600 * u}::DOUBLE THEN CAST(trunc(mtime) AS HUGEINT) // {u}" for u in (1, 1000, 1000000, 1000000000))
+
+# Fullwidth characters as usual ones, the compatibility forms that DuckDB's functions leave.
+_WIDE, _PLAIN = "".join(chr(0xFF01 + k) for k in range(94)), "".join(chr(0x21 + k) for k in range(94)).replace("'", "''")
+_WORDS = f"regexp_extract_all(lower(strip_accents(regexp_replace(translate(text, '{_WIDE}', '{_PLAIN}'), '[\\p{{Cf}}\\p{{M}}]', '', 'g'))), '[\\p{{L}}\\p{{N}}]+')"
 
 SQL = {
+    "p7_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
+        dw AS (SELECT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
+        iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i))
+        SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""",
     "p4_found": f"""WITH j AS (SELECT id, lower(dhash) AS k, width, size, mtime, CASE WHEN info <> '' AND json_valid(info) THEN CASE WHEN json_type(info) = 'VARCHAR' THEN json_extract_string(info, '$') ELSE info END END AS i FROM images WHERE {_USABLE}),
         t AS (SELECT *, json_extract_string(i, '$.sharpness') AS a, json_extract_string(i, '$.scores.sharpness') AS b FROM j),
         r AS (SELECT id, k, row_number() OVER (PARTITION BY k ORDER BY width DESC NULLS LAST, coalesce({_UNIT('a')}, {_UNIT('b')}) DESC NULLS LAST, size DESC NULLS LAST, CAST(CASE {_TIME} END AS BIGINT) DESC NULLS LAST, id) AS place FROM t)
