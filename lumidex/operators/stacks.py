@@ -24,6 +24,7 @@ def heads(hashes: DataFrame, threshold: int = THRESHOLD, bucket_rows: int = BUCK
     bits. Range buckets by sampled bounds keep every window small; stacks that run over a
     bucket's edge are stitched from one row per bucket.
     """
+    hashes = persisted(hashes.select("dhash"), "hashes")
     n = hashes.count()
     buckets = min(MOST_BUCKETS, max(1, math.ceil(n / bucket_rows)))
     bounds: list[str] = []

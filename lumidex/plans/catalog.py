@@ -317,7 +317,12 @@ def exif_fields(spark, d):
     return fields.select("id", "key", F.when(F.schema_of_variant("item").startswith("ARRAY"), many).otherwise(F.try_variant_get("item", "$", "string")).alias("value"))
 
 
-@query()
+_FIXED = "CASE WHEN v * 8 = floor(v * 8) THEN printf('%.2f', floor(v * 100 + 0.5) / 100) ELSE printf('%.2f', v) END"
+_SCORES = "(VALUES ('aesthetic_score'), ('sharpness'), ('exposure_score'), ('watermark_score')) s(label)"
+
+
+@query(f"""WITH i AS (SELECT id, CASE WHEN info <> '' AND json_valid(info) THEN CASE WHEN json_type(info) = 'VARCHAR' THEN json_extract_string(info, '$') ELSE info END END AS j FROM images),
+v AS (SELECT id, label, CASE WHEN json_type(j, '$.' || label) IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'INTEGER') THEN CAST(json_extract(j, '$.' || label) AS DOUBLE) END AS v FROM i, {_SCORES}) SELECT id, label, {_FIXED} AS text FROM v WHERE v IS NOT NULL""")
 def score_facts(spark, d):
     return images(spark, d).select("id", F.explode(describe.scores(json_variant("info"))).alias("s")).select("id", "s.label", "s.text")
 
@@ -372,7 +377,16 @@ def hit_test(spark, d):
     return mapview.hit(mapview.grid_clusters(_marks(spark, d)), 240.0, 205.0, order="first_id").select("bx", "by", "n")
 
 
-@query()
+_NEAREST = "list_position(list_transform(w.state, lambda c: pow(c.sx * 1.0 / c.n - p.x, 2) + pow(c.sy * 1.0 / c.n - p.y, 2) <= 324), true)"
+
+
+@query(f"""WITH RECURSIVE {_POINTS}, px AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) AS rn, {_PIXELS} FROM pts),
+walk AS (SELECT 0::BIGINT AS rn, CAST([] AS STRUCT(sx BIGINT, sy BIGINT, n BIGINT)[]) AS state
+  UNION ALL SELECT rn, CASE WHEN coalesce(k, 0) = 0 THEN list_append(state, struct_pack(sx := x, sy := y, n := 1::BIGINT))
+    ELSE list_concat(list_append(state[1:k - 1], struct_pack(sx := state[k].sx + x, sy := state[k].sy + y, n := state[k].n + 1)), state[k + 1:]) END
+  FROM (SELECT p.rn, w.state, p.x::BIGINT AS x, p.y::BIGINT AS y, {_NEAREST} AS k FROM walk w JOIN px p ON p.rn = w.rn + 1)),
+f AS (SELECT unnest(state) AS c, generate_subscripts(state, 1) - 1 AS pin FROM walk WHERE rn = (SELECT max(rn) FROM walk))
+SELECT CAST(pin AS INTEGER) AS pin, CAST(c.sx // c.n AS INTEGER) AS x, CAST(c.sy // c.n AS INTEGER) AS y, c.n AS n, CAST(CASE WHEN c.n = 1 THEN 7 ELSE least(20, 7 + 3 * length(c.n::VARCHAR)) END AS INTEGER) AS radius FROM f""")
 def greedy_pins(spark, d):
     pins = mapview.greedy_pins(located(spark, d))
     return pins.withColumn("radius", mapview.pin_radius(F.col("n")))

@@ -54,6 +54,19 @@ def _tree(column: str) -> str:
 _NODES = f"""WITH n AS ({_tree('info')} UNION ALL {_tree('exif')})
 SELECT id, node, CASE WHEN ends_with(node, ']') THEN regexp_replace(regexp_replace(node, '(\\[\\d+\\])+$', ''), '\\.[^.\\[]+$', '') ELSE regexp_replace(node, '\\.[^.\\[]+$', '') END AS parent FROM n"""
 
+
+
+def _values(column: str) -> str:
+    cell = f"CASE WHEN {column} <> '' AND json_valid({column}) THEN CASE WHEN json_type({column}) = 'VARCHAR' THEN json_extract_string({column}, '$') ELSE {column} END END"
+    return f"""SELECT c.id, '{column}' AS root, '{column}' || replace(substr(fullkey, 2), chr(34), '') AS node, type FROM (SELECT id, {cell} AS cell FROM images) c, json_tree(c.cell) WHERE json_type(cell) IN ('OBJECT', 'ARRAY')"""
+
+
+_CATALOG = f"""WITH n AS ({_values('info')} UNION ALL {_values('exif')}),
+r AS (SELECT id, type, node, CASE WHEN contains(node, ']') THEN regexp_extract(node, '^(.*\\])', 1) ELSE root END AS inst FROM n),
+t AS (SELECT id, type, inst, regexp_replace(inst, '\\[\\d+\\]', '[]', 'g') AS rel, ltrim(substr(node, length(inst) + 1), '.') AS col FROM r)
+SELECT rel, NULL AS col, count(DISTINCT (id, inst)) AS n_rows FROM t GROUP BY rel
+UNION ALL SELECT rel, CASE WHEN col = '' THEN 'value' ELSE col END, count(DISTINCT (id, inst)) FROM t WHERE type NOT IN ('OBJECT', 'ARRAY', 'NULL') GROUP BY 1, 2"""
+
 _POSITIONS = catalog._POINTS
 _PLACED = f"""WITH {_POSITIONS},
 circle AS (SELECT p.id, place_id FROM pts p JOIN places c ON c.kind = 'circle'
@@ -82,4 +95,12 @@ _NEAR = f"""WITH {_POSITIONS}, far AS (SELECT q.id, 2 * 6371000.0 * asin(sqrt(le
 n AS (SELECT id, count(*) AS n_near, min(m) AS m FROM far WHERE m <= 1000.0 GROUP BY id)
 SELECT pts.id, coalesce(n_near, 0) AS n_near, round(m, 3) AS nearest_m FROM pts LEFT JOIN n USING (id) WHERE pts.id % 100 = 0"""
 
-SQL = {"p1_found": _NODES, "p2_found": _PLACED, "p2_near": _NEAR, "p3_found": _INSTANTS}
+_INFO = """i AS (SELECT id, CASE WHEN info <> '' AND json_valid(info) THEN CASE WHEN json_type(info) = 'VARCHAR' THEN json_extract_string(info, '$') ELSE info END END AS j FROM images),
+s AS (SELECT id, k, json_extract(j, '$.subjects[' || k || ']') AS x FROM (SELECT id, j, unnest(range(0, CAST(json_array_length(j, '$.subjects') AS BIGINT))) AS k FROM i WHERE json_type(j, '$.subjects') = 'ARRAY'))"""
+_SUBJECTS = f"""WITH {_INFO} SELECT id, k::VARCHAR AS row_key, '' AS parent_key, CASE WHEN json_type(x) NOT IN ('OBJECT', 'NULL') THEN json_extract_string(x, '$') END AS value, json_extract_string(x, '$.name') AS name,
+  json_extract_string(x, '$.count') AS count, json_extract_string(x, '$.box.x') AS box_x, json_extract_string(x, '$.box.y') AS box_y, json_extract_string(x, '$.box.w') AS box_w, json_extract_string(x, '$.box.h') AS box_h FROM s"""
+_MARKS = f"""WITH {_INFO}, p AS (SELECT id, k, q, json_extract(x, '$.parts[' || q || ']') AS y FROM (SELECT id, k, x, unnest(range(0, CAST(json_array_length(x, '$.parts') AS BIGINT))) AS q FROM s WHERE json_type(x, '$.parts') = 'ARRAY')),
+m AS (SELECT id, k, q, r, json_extract(y, '$.marks[' || r || ']') AS z FROM (SELECT id, k, q, y, unnest(range(0, CAST(json_array_length(y, '$.marks') AS BIGINT))) AS r FROM p WHERE json_type(y, '$.marks') = 'ARRAY'))
+SELECT id, k || '.' || q || '.' || r AS row_key, k || '.' || q AS parent_key, json_extract_string(z, '$.kind') AS kind, json_extract_string(z, '$.reading') AS reading FROM m"""
+
+SQL = {"p1_found": _NODES, "p1_catalog": _CATALOG, "p1_subjects": _SUBJECTS, "p1_marks": _MARKS, "p2_found": _PLACED, "p2_near": _NEAR, "p3_found": _INSTANTS}

@@ -166,3 +166,15 @@ def test_scalars(spark):
     assert one.select(scalars.percent(F.lit(0), F.lit(5))).first()[0] == "-" and one.select(scalars.percent(F.lit(1), F.lit(3))).first()[0] == "33.33%"
     links = one.select(scalars.links(F.lit(5), F.lit("a.HEIC")).alias("l")).first()["l"]
     assert links["file"] == "images/5.jpg" and json.dumps(links.asDict())
+
+
+def test_two_decimals_are_those_of_the_exact_value(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    r = random.Random(2)
+    values = [0.285, 0.045, 1.005, 0.125, 0.375, 0.565, 0.0, 1.0, 0.999, 0.995, 99.999, -0.125, -0.001, *[k / 1000 for k in range(1001)], *[r.random() * 100 for _ in range(500)]]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", scalars.fixed2(F.col("v")).alias("t")).collect()
+    for x in rows:
+        want = str(Decimal(x["v"]).quantize(Decimal("0.01"), ROUND_HALF_UP))
+        assert x["t"] == (want.lstrip("-") if set(want) <= set("-0.") else want), x
+    assert spark.range(1).select(scalars.fixed2(F.lit(float("nan")))).first()[0] is None
