@@ -38,3 +38,19 @@ def shards(spark: SparkSession, output: str) -> DataFrame:
 def lookup(records: DataFrame, wanted: str) -> DataFrame:
     """The record of an id given as text; where several have it, the last shard's."""
     return records.filter(F.col("id").cast("string") == wanted).orderBy(F.desc("shard")).limit(1)
+
+
+def write_max_zoom(folder: str, max_zoom: int) -> None:
+    """Note the depth of a tile pyramid beside it."""
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, "manifest.json"), "w", encoding="utf-8") as f:
+        json.dump({"max_zoom": max_zoom}, f)
+
+
+def max_zoom(folder: str) -> int | None:
+    """The depth noted for a tile pyramid; None when there is no readable note."""
+    try:
+        with open(os.path.join(folder, "manifest.json"), encoding="utf-8") as f:
+            return int(json.load(f)["max_zoom"])
+    except (OSError, ValueError, KeyError, TypeError):
+        return None

@@ -144,6 +144,14 @@ def test_config(tmp_path):
     assert loaded["endpoint"] == [{"kind": "openai", "base_url": "", "api_key": "", "model": "m"}] and loaded["own"] == 1 and loaded["libraries"] == []
 
 
+def test_tile_depth(tmp_path):
+    assert site.max_zoom(str(tmp_path)) is None
+    site.write_max_zoom(str(tmp_path / "tiles"), 5)
+    assert site.max_zoom(str(tmp_path / "tiles")) == 5
+    (tmp_path / "manifest.json").write_text("[1]")
+    assert site.max_zoom(str(tmp_path)) is None
+
+
 def test_listing_stream_drops_repeats(spark, small, tmp_path):
     source = f"{tmp_path}/in"
     spark.read.parquet(f"{small}/file_listing.parquet").repartition(3).write.parquet(source)
