@@ -84,6 +84,7 @@ class Index:
     """Inverted index over the surface forms of one block of the list."""
 
     forms: list[tuple[int, str]]
+    own: set[tuple[int, str]]
     exact: dict[str, set[int]]
     posts: list[dict[str, list[tuple[int, float]]]]
     idf: list[dict[str, float]]
@@ -112,7 +113,7 @@ class Index:
             posts.append(dict(lists))
             idf.append(weight)
             unseen.append(math.log(1 + len(forms)))
-        return Index(forms, dict(exact), posts, idf, unseen)
+        return Index(forms, set(forms), dict(exact), posts, idf, unseen)
 
     def cosines(self, text: str) -> dict[int, float]:
         """Form number to the better of its two cosines, for all forms that share an n-gram."""
@@ -137,7 +138,7 @@ class Index:
                 continue
             hits = set().union(*(self.exact.get(k, set()) for k in _exact_keys(text)))
             for t in hits:
-                scored[t] = max(scored.get(t, 0.0), 2.0 if text in (n for f, n in self.forms if f == t) else 1.9)
+                scored[t] = max(scored.get(t, 0.0), 2.0 if (t, text) in self.own else 1.9)
             if hits:
                 continue
             for k, cos in self.cosines(text).items():
