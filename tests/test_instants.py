@@ -74,3 +74,9 @@ def test_images_with_nulls_repeats_and_clashing_names(spark):
     assert found == [(1, "DateTime", 1411557068), (1, "DateTimeOriginal", 1625133600), (1, "DateTimeOriginal", 1625133600), (1, "mtime", 1360330000), (5, "DateTime", 1625140800)]
     assert instants.image_instants(spark.createDataFrame([], IMAGES), libraries).count() == 0
     assert instants.image_instants(spark.createDataFrame(rows, IMAGES), libraries.limit(0)).count() == 2
+
+
+def test_a_value_that_fills_a_third_of_the_rows(spark):
+    rows = [(k, "a", '{"DateTime": "2021:07:01 12:00:00"}' if k % 3 == 0 else f'{{"DateTime": "2021:07:01 {k % 24:02d}:00:{k % 60:02d}"}}', None, "", "", "") for k in range(900)]
+    libraries = spark.createDataFrame([("a", "UTC")], "name string, tz string")
+    assert instants.image_instants(spark.createDataFrame(rows, IMAGES), libraries).count() == 900
