@@ -22,6 +22,13 @@ def p5_found(spark, d):
     return canonical.mapped(table(spark, d, "images"), table(spark, d, "canonical_terms"))
 
 
+def p5_unmatched(spark, d):
+    """Values that have no entry, with how often they occur."""
+    mentions = canonical.mentions(table(spark, d, "images")).groupBy("kind", "value").agg(F.count("*").alias("n"))
+    found = canonical.lookup(mentions.select("kind", "value"), table(spark, d, "canonical_terms")).filter("term_id = -1").select(F.col("kind").alias("_kind"), F.col("value").alias("_value"))
+    return mentions.join(found, (F.col("kind") == F.col("_kind")) & (F.col("value") == F.col("_value"))).select("kind", "value", "n")
+
+
 def p6_found(spark, d):
     return nearhash.near_pairs(table(spark, d, "images"))
 
@@ -50,13 +57,17 @@ def p9_found(spark, d):
     return language.mislabelled(table(spark, d, "documents"))
 
 
+def p9_segments(spark, d):
+    return language.segment_languages(table(spark, d, "documents")).select("doc_id", "seg_no", "lang", "confidence")
+
+
 def p9_documents(spark, d):
     return language.document_languages(table(spark, d, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (p4_found, p4_consensus, p5_found, p6_found, p6_links, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_documents)
+    for f in (p4_found, p4_consensus, p5_found, p5_unmatched, p6_found, p6_links, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_segments, p9_documents)
 }
 
 _USABLE = "regexp_full_match(lower(dhash), '[0-9a-f]{16}') AND lower(dhash) <> repeat(lower(dhash)[1], 16)"

@@ -44,3 +44,9 @@ def test_mentions_of_odd_cells(spark):
 
 def test_edits():
     assert C.edits("abc", "acb", 2) == 1 and C.edits("abc", "abc", 2) == 0 and C.edits("a", "abcdef", 2) == 3 and C.edits("", "ab", 2) == 2 and C.edits("kitten", "sitting", 3) == 3
+
+
+def test_a_value_that_fills_a_third_of_the_rows(spark):
+    cells = [(k, json.dumps({"colors": ["Sky-Blue" if k % 3 == 0 else f"no{k}ne"], "tags": []})) for k in range(900)]
+    got = C.mapped(spark.createDataFrame(cells, "id bigint, info string"), spark.createDataFrame(TERMS, TERM_DDL)).collect()
+    assert len(got) == 900 and all((r["term_id"] == 2) == (r["id"] % 3 == 0) for r in got)
