@@ -81,7 +81,7 @@ def mime(name: Column) -> Column:
 
 def export_extension(name: Column) -> Column:
     """The suffix of an exported original: HEIC becomes jpg, no suffix is jpg."""
-    suffix = F.regexp_extract(F.lower(name), r"[^.]\.([^./]+)\z", 1)
+    suffix = F.regexp_extract(F.lower(name), r"[^./][^/]*\.([^./]+)\z", 1)
     return F.when(is_heic(name) | (suffix == ""), F.lit("jpg")).otherwise(suffix)
 
 

@@ -269,7 +269,7 @@ def export_orphans(spark, d):
     return export.orphans(table(spark, d, "export_state").select(name), images(spark, d).select(name))
 
 
-@query("SELECT id, CASE WHEN ends_with(lower(name), '.heic') OR regexp_extract(lower(name), '[^.]\\.([^./]+)$', 1) = '' THEN 'jpg' ELSE regexp_extract(lower(name), '[^.]\\.([^./]+)$', 1) END AS ext, CASE WHEN ends_with(lower(name), '.png') THEN 'image/png' WHEN ends_with(lower(name), '.gif') THEN 'image/gif' ELSE 'image/jpeg' END AS mime FROM images")
+@query("SELECT id, CASE WHEN ends_with(lower(name), '.heic') OR regexp_extract(lower(name), '[^./][^/]*\\.([^./]+)$', 1) = '' THEN 'jpg' ELSE regexp_extract(lower(name), '[^./][^/]*\\.([^./]+)$', 1) END AS ext, CASE WHEN ends_with(lower(name), '.png') THEN 'image/png' WHEN ends_with(lower(name), '.gif') THEN 'image/gif' ELSE 'image/jpeg' END AS mime FROM images")
 def file_kinds(spark, d):
     return images(spark, d).select("id", scalars.export_extension(F.col("name")).alias("ext"), scalars.mime(F.col("name")).alias("mime"))
 
@@ -292,7 +292,7 @@ def when_text(spark, d):
     return images(spark, d).filter(F.col("ctime").between(0, 4e9)).select("id", scalars.when_text(F.col("ctime")).alias("text"))
 
 
-@query("SELECT id, '/detail?id=' || id AS page, '/api/image/' || id AS data, '/thumb/' || id AS thumb, '/image/' || id AS image, 'images/' || id || '.' || CASE WHEN ends_with(lower(name), '.heic') OR regexp_extract(lower(name), '[^.]\\.([^./]+)$', 1) = '' THEN 'jpg' ELSE regexp_extract(lower(name), '[^.]\\.([^./]+)$', 1) END AS file FROM images")
+@query("SELECT id, '/detail?id=' || id AS page, '/api/image/' || id AS data, '/thumb/' || id AS thumb, '/image/' || id AS image, 'images/' || id || '.' || CASE WHEN ends_with(lower(name), '.heic') OR regexp_extract(lower(name), '[^./][^/]*\\.([^./]+)$', 1) = '' THEN 'jpg' ELSE regexp_extract(lower(name), '[^./][^/]*\\.([^./]+)$', 1) END AS file FROM images")
 def record_links(spark, d):
     return images(spark, d).select("id", scalars.links(F.col("id"), F.col("name")).alias("l")).select("id", "l.*")
 

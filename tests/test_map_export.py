@@ -135,7 +135,7 @@ def test_records_digests_and_thumbnails(spark):
     assert rows[1]["image"] == "images/1.jpg" and rows[2]["image"] == "images/2.jpg" and len(rows[1]["thumb"]) == 23 + 400 and rows[2]["thumb"] is None
     first, second = ({r["id"]: (r["digest"], r["size"]) for r in export.digests(export.export_records(df)).collect()} for _ in range(2))
     assert first == second and len(first[1][0]) == 40
-    kinds = spark.createDataFrame([("a.JPEG", "jpeg", "image/jpeg"), ("x", "jpg", "image/jpeg"), (".png", "jpg", "image/png"), ("a.b.PNG", "png", "image/png"), ("a.gif", "gif", "image/gif"), ("a.heic", "jpg", "image/jpeg")], "n string, e string, m string")
+    kinds = spark.createDataFrame([("a.JPEG", "jpeg", "image/jpeg"), ("x", "jpg", "image/jpeg"), (".png", "jpg", "image/png"), ("a.b.PNG", "png", "image/png"), ("a.gif", "gif", "image/gif"), ("a.heic", "jpg", "image/jpeg"), ("a..png", "png", "image/png"), ("..png", "jpg", "image/png"), ("a.", "jpg", "image/jpeg")], "n string, e string, m string")
     assert all(r["e"] == r["x"] and r["m"] == r["y"] for r in kinds.withColumn("x", scalars.export_extension(F.col("n"))).withColumn("y", scalars.mime(F.col("n"))).collect())
 
 
