@@ -8,7 +8,7 @@ parent row. A record lies in one row, so pivoting happens where it is parsed: no
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,15 +20,18 @@ TRIPLES = "id bigint, root string, path string, ordinals array<int>, kind string
 ROWS = "id bigint, root string, rel string, ordinals array<int>, parent_rel string, parent_ordinals array<int>, cols map<string,string>"
 
 
-def walk(root: str, top) -> Iterator[tuple]:
+def walk(root: str, top, lists: Collection[str] = ()) -> Iterator[tuple]:
     """(path, ordinals, kind, value, node, parent) in document order.
 
     path has '[]' for each list level, ordinals the places in those lists; node has them
-    filled in. parent is the node of the nearest enclosing object, root at the top.
+    filled in. parent is the node of the nearest enclosing object, root at the top. A bare
+    object at one of the paths `lists` counts as a list of one.
     """
     todo = [(root, (), root, root, top)]
     while todo:
         path, ordinals, node, parent, value = todo.pop()
+        if isinstance(value, dict) and path in lists:
+            value = [value]
         if isinstance(value, dict):
             yield path, ordinals, "object", None, node, parent
             todo.extend((f"{path}.{k}", ordinals, f"{node}.{k}", node, v) for k, v in reversed(value.items()))
@@ -96,13 +99,14 @@ def relation(path: str) -> tuple[str, str]:
     return path[: at + 2], path[at + 2 :].lstrip(".")
 
 
-def rows(df: DataFrame, roots: list[str], id_col: str = "id") -> DataFrame:
+def rows(df: DataFrame, roots: list[str], id_col: str = "id", lists: Collection[str] = ()) -> DataFrame:
     """One row per row of the flat tables, with its values in the map `cols`.
 
     rel is the table (the repeated ancestor's path), ordinals the row's key within id,
     parent_rel and parent_ordinals the parent row; elements of lists of scalars, and
     nulls in lists, have the single column 'value'. Null fields are left out of cols.
-    Records without usable JSON give no rows.
+    Records without usable JSON give no rows. A bare object at one of the paths `lists`
+    is the one row of that list's table.
     """
     schema = _schema([("id", pa.int64()), ("root", pa.string()), ("rel", pa.string()), ("ordinals", pa.list_(pa.int32())), ("parent_rel", pa.string()), ("parent_ordinals", pa.list_(pa.int32())), ("cols", pa.map_(pa.string(), pa.string()))])
 
@@ -111,7 +115,7 @@ def rows(df: DataFrame, roots: list[str], id_col: str = "id") -> DataFrame:
             out = []
             for i, root, top in _records(batch, roots):
                 tables: dict[tuple, dict] = {}
-                for path, ordinals, kind, value, _, _ in walk(root, top):
+                for path, ordinals, kind, value, _, _ in walk(root, top, lists):
                     rel, column = relation(path)
                     cols = tables.setdefault((rel, ordinals), {})
                     if value is not None:
@@ -136,6 +140,14 @@ def catalog(shredded: DataFrame) -> DataFrame:
     )
 
 
+def flat(shredded: DataFrame) -> DataFrame:
+    """(id, root, rel, row_key, parent_rel, parent_key, col, value): every column of every row of all tables; col is null where a row has none."""
+    return shredded.select(
+        "id", "root", "rel", F.array_join("ordinals", ".").alias("row_key"), "parent_rel", F.array_join("parent_ordinals", ".").alias("parent_key"),
+        F.explode_outer("cols").alias("col", "value"),
+    )
+
+
 def pivot(shredded: DataFrame, rel: str, columns: list[str]) -> DataFrame:
     """The flat table of one repeated ancestor: id, ordinals, parent_ordinals and the named columns as strings."""
     return shredded.filter(F.col("rel") == rel).select(

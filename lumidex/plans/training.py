@@ -9,6 +9,9 @@ from lumidex.operators import instants, nested, positions
 from lumidex.plans import catalog
 
 JSON_COLUMNS = ["info", "exif"]
+#: Lists of objects that some records spell as one bare object, or may.
+LISTS = frozenset(["info.subjects", "info.subjects[].parts", "info.subjects[].parts[].marks", "info.text", "info.text[].words", "info._attempts", "info.model.endpoint.limits"])
+SUBJECT_COLUMNS = ["value", "name", "count", "box.x", "box.y", "box.w", "box.h"]
 
 
 def p1_found(spark, d):
@@ -19,16 +22,34 @@ def p1_catalog(spark, d):
     return nested.catalog(nested.rows(table(spark, d, "images"), JSON_COLUMNS))
 
 
+def p1_rows(spark, d):
+    """All tables and columns in long form, whichever way a list of one is spelled."""
+    return nested.flat(nested.rows(table(spark, d, "images"), JSON_COLUMNS, lists=LISTS))
+
+
 def p1_subjects(spark, d):
+    """Only subjects in lists, as its SQL says; p1_all_subjects has all."""
     rows = nested.rows(table(spark, d, "images"), ["info"])
-    return nested.pivot(rows, "info.subjects[]", ["value", "name", "count", "box.x", "box.y", "box.w", "box.h"])
+    return nested.pivot(rows, "info.subjects[]", SUBJECT_COLUMNS)
+
+
+def p1_all_subjects(spark, d):
+    rows = nested.rows(table(spark, d, "images"), ["info"], lists=LISTS)
+    return nested.pivot(rows, "info.subjects[]", SUBJECT_COLUMNS)
 
 
 def p1_marks(spark, d):
+    """Only marks in lists of parts in lists, as its SQL says; p1_all_marks has all."""
     rows = nested.rows(table(spark, d, "images"), ["info"])
     return nested.pivot(rows, "info.subjects[].parts[].marks[]", ["kind", "reading"])
 
 
+def p1_all_marks(spark, d):
+    """Parent keys are row keys of info.subjects[].parts[] in p1_rows."""
+    rows = nested.rows(table(spark, d, "images"), ["info"], lists=LISTS)
+    return nested.pivot(rows, "info.subjects[].parts[].marks[]", ["kind", "reading"])
+
+
 def p2_found(spark, d):
     return positions.containing(positions.positions(table(spark, d, "images")), table(spark, d, "places"))
 
@@ -42,7 +63,7 @@ def p3_found(spark, d):
     return instants.image_instants(table(spark, d, "images"), table(spark, d, "libraries"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_catalog, p1_subjects, p1_marks, p2_found, p2_near, p3_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_catalog, p1_rows, p1_subjects, p1_all_subjects, p1_marks, p1_all_marks, p2_found, p2_near, p3_found)}
 
 def _tree(column: str) -> str:
     cell = f"CASE WHEN {column} <> '' AND json_valid({column}) THEN CASE WHEN json_type({column}) = 'VARCHAR' THEN json_extract_string({column}, '$') ELSE {column} END END"

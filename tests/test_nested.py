@@ -5,7 +5,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from lumidex.common import decode
 from lumidex.operators import nested
+from lumidex.plans import training
 
 DDL = "id bigint, info string, exif string, node string, parent string"
 
@@ -77,3 +79,38 @@ def test_empty_table_and_repeated_rows(spark):
     assert nested.nodes(spark.createDataFrame([], DDL), ["info", "exif"]).count() == 0
     twice = spark.createDataFrame([(None, '{"a": {}}', None, "", "")] * 2, DDL)
     assert [tuple(r) for r in nested.nodes(twice, ["info", "exif"]).collect()] == [(None, "info.a", "info")] * 2
+
+
+def test_every_spelling_of_subjects_parts_and_marks_is_read(spark, tmp_path):
+    mark = lambda n: {"kind": f"k{n}", "reading": f"r{n}"}
+    part = lambda n, marks: {"name": f"p{n}", "marks": marks}
+    cells = [
+        {"subjects": ["plain", {"name": "s1", "parts": [part(1, [mark(1), mark(2)]), None]}]}, {"subjects": [{"name": "s2", "parts": part(2, [mark(3)])}]},
+        {"subjects": {"name": "s3", "count": 2, "parts": [part(3, mark(4))]}}, {"subjects": {"name": "s4", "box": {"x": 1}, "parts": part(4, mark(5))}},
+    ]
+    spark.createDataFrame([(i, json.dumps(c), None) for i, c in enumerate(cells)], "id bigint, info string, exif string").write.parquet(f"{tmp_path}/images.parquet")
+    marks = training.p1_all_marks(spark, tmp_path).collect()
+    assert sorted(map(tuple, marks)) == [(0, "1.0.0", "1.0", "k1", "r1"), (0, "1.0.1", "1.0", "k2", "r2"), (1, "0.0.0", "0.0", "k3", "r3"), (2, "0.0.0", "0.0", "k4", "r4"), (3, "0.0.0", "0.0", "k5", "r5")]
+    subjects = training.p1_all_subjects(spark, tmp_path).select("id", "row_key", "value", "name", "count", "box_x").collect()
+    assert sorted(map(tuple, subjects)) == [(0, "0", "plain", None, None, None), (0, "1", None, "s1", None, None), (1, "0", None, "s2", None, None), (2, "0", None, "s3", "2", None), (3, "0", None, "s4", None, "1")]
+    rows = training.p1_rows(spark, tmp_path).collect()
+    parts = [r for r in rows if r["rel"] == "info.subjects[].parts[]"]
+    assert {(r["id"], r["row_key"]): r["value"] for r in parts} == {(0, "1.0"): "p1", (0, "1.1"): None, (1, "0.0"): "p2", (2, "0.0"): "p3", (3, "0.0"): "p4"}
+    assert {(r["id"], r["parent_key"]) for r in marks} <= {(r["id"], r["row_key"]) for r in parts}
+
+
+def test_flat_rows_have_every_value_and_every_parent_on_the_table(spark, small):
+    def leaves(value):
+        inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else None
+        return [value] if inner is None else [x for v in inner for x in leaves(v)]
+
+    texts = Counter()
+    for r in spark.read.parquet(f"{small}/images.parquet").collect():
+        for root in ("info", "exif"):
+            top = decode(r[root])
+            if isinstance(top, (dict, list)):
+                texts.update((r["id"], root, v if isinstance(v, str) else json.dumps(v)) for v in leaves(top) if v is not None)
+    rows = training.p1_rows(spark, small).collect()
+    assert Counter((r["id"], r["root"], r["value"]) for r in rows if r["value"] is not None) == texts and texts
+    keys = {(r["id"], r["rel"], r["row_key"]) for r in rows}
+    assert all(r["parent_rel"] is None or (r["id"], r["parent_rel"], r["parent_key"]) in keys for r in rows)
