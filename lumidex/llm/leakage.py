@@ -33,6 +33,8 @@ PASSAGE = 13
 RADIUS = 7
 SHINGLE = 5
 SIMILARITY = 0.8
+#: What sums of weights may lose by rounding: 8 of 10 equal weights count as 0.8.
+ROUNDING = 1e-9
 #: Characters of items in one index block.
 BLOCK_CHARS = 500_000
 #: Windows fingerprinted at once.
@@ -202,7 +204,7 @@ class Index:
                 for k in range(0, len(rest), 4_096):
                     part = rest[k : k + 4_096]
                     score[part] = self.similarity(mine[part], theirs[part])
-                for k in np.flatnonzero(score >= SIMILARITY):
+                for k in np.flatnonzero(score >= SIMILARITY - ROUNDING):
                     for item in w.owners[window[k]]:
                         entry = found.setdefault((int(owner[start + place[k]]), int(item)), [0, 0.0, 0])
                         entry[0] += 1

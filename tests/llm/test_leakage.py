@@ -96,3 +96,28 @@ def test_recall_of_windows_with_one_word_changed_at_an_end():
         window[0 if k % 2 else 12] = r.integers(0, 2**63, dtype=np.uint64)
         found += k in index.candidates(L.simhash(window, 13), L.RADIUS)[1]
     assert found / 500 > 0.5
+
+
+def changed_at(spark, places, n=240):
+    """How many of n items of 13 random words are found in a document with the word at one of `places` changed, and how many have their fingerprint within the radius."""
+    r = random.Random(4)
+    own = [[f"w{r.randrange(10**9)}" for _ in range(13)] for _ in range(n)]
+    docs, near, hasher = [], 0, L.Hasher()
+    for k, w in enumerate(own):
+        x = list(w)
+        x[places[k % len(places)]] = f"x{r.randrange(10**9)}"
+        docs.append((k, " ".join(x), "", ""))
+        near += np.bitwise_count(L.simhash(hasher(w), 13) ^ L.simhash(hasher(x), 13))[0] <= L.RADIUS
+    rows = L.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(k, " ".join(w), "") for k, w in enumerate(own)], ITEMS)).collect()
+    assert all(r["doc_id"] == r["item_id"] and r["n_equal"] == 0 and abs(r["similarity"] - 0.8) < 1e-9 for r in rows)
+    return len(rows), near
+
+
+def test_leaks_have_every_window_with_an_end_word_changed_within_the_radius(spark):
+    found, near = changed_at(spark, [0, 12])
+    assert found == near > 120
+
+
+def test_leaks_have_no_window_with_a_word_changed_inside(spark):
+    """It leaves 4 to 7 shingles of 11 to 14, less than SIMILARITY."""
+    assert changed_at(spark, range(1, 12))[0] == 0
