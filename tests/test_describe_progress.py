@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +165,27 @@ def test_listing_stream_drops_repeats(spark, small, tmp_path):
     counts = stream.arrivals(stream.read(spark, source)).writeStream.format("memory").outputMode("complete").queryName("arrivals").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
     counts.awaitTermination(120)
     assert spark.table("arrivals").agg(F.sum("n")).first()[0] == spark.read.parquet(source).count()
+
+
+def test_listing_stream_keeps_rows_that_come_late(spark, tmp_path):
+    source, day = tmp_path / "late", lambda k: dt.datetime(2026, 1, 1) + dt.timedelta(days=k)
+    row = lambda path, seen, received: (1, "L", path, path, 10, 0.0, 0.0, day(seen), day(received))
+    files = [[row("a", 0, 0)], [row("b", 40, 40)], [row("c", 5, 41), row("b", 40, 41)], [row("d", 6, 42), row("c", 5, 42)], [row("e", 120, 120)]]
+    ddl = "scan_no int, library string, path string, name string, size bigint, mtime double, ctime double, seen_at timestamp, received_at timestamp"
+    for k, rows in enumerate(files):  # a file for each micro-batch, in the order of arrival
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(str(source))
+        for new in source.glob("*.parquet"):
+            if new.stat().st_mtime > 1e9 + 100:
+                os.utime(new, (1e9 + k, 1e9 + k))
+
+    def run(build, mode):
+        listing = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(source))
+        name = f"late_{build.__name__}_{mode}"
+        build(listing).writeStream.format("memory").outputMode(mode).queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination(120)
+        return spark.table(name)
+
+    assert sorted(r["path"] for r in run(stream.fresh, "append").collect()) == ["a", "b", "c", "d", "e"]
+    counts = {r["start"]: r["n"] for r in run(stream.arrivals, "update").orderBy("n").collect()}
+    assert counts == {day(0): 1, day(40): 2, day(5): 2, day(6): 1, day(120): 1}
+    parts = run(stream.arrival_parts, "append").groupBy("start").agg(F.sum("n").alias("n")).collect()
+    assert {r["start"]: r["n"] for r in parts} == {k: n for k, n in counts.items() if k != day(120)}
