@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from lumidex.operators.instants import mtime_seconds
 
 #: Distinct values aligned at once; larger groups go through several rounds.
 CHUNK = 64
-#: Cells of one alignment table; longer stretches between common tokens are paired by place.
+#: Cells of one alignment table; longer stretches between common tokens are halved until they fit.
 MOST_CELLS = 250_000
 
 
@@ -92,9 +93,8 @@ def _once(tokens: list[str]) -> dict[str, int]:
 
 def _table(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
     """Edit alignment of two short token lists: (place in a, place in b), None for a gap."""
-    if not a or not b or len(a) * len(b) > MOST_CELLS:
-        n = min(len(a), len(b))
-        return [(i, i) for i in range(n)] + [(i, None) for i in range(n, len(a))] + [(None, j) for j in range(n, len(b))]
+    if not a or not b:
+        return [(i, None) for i in range(len(a))] + [(None, j) for j in range(len(b))]
     cost = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
         above, row = cost[-1], [i]
@@ -115,11 +115,41 @@ def _table(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
     return out[::-1]
 
 
+def _column(a: list[str], b: list[str]) -> np.ndarray:
+    """Edits between each beginning of a, from none of it to all, and the whole of b: the table's last column, kept as the bits of its differences."""
+    every, places = (1 << len(a)) - 1, {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    same = {}
+    for x, own in places.items():
+        bits = np.zeros(len(a), np.uint8)
+        bits[own] = 1
+        same[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    up, down = every, 0
+    for y in b:
+        hit = same.get(y, 0)
+        flat = ((((hit & up) + up) ^ up) | hit | down) & every
+        more, less = down | (every ^ (flat | up)), flat & up
+        more, less = ((more << 1) | 1) & every, (less << 1) & every
+        up, down = less | (every ^ (flat | more)), more & flat
+    steps = [np.unpackbits(np.frombuffer(v.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)].astype(np.int64) for v in (up, down)]
+    return len(b) + np.concatenate([[0], np.cumsum(steps[0] - steps[1])])
+
+
+def _stretch(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
+    """Edit alignment of two token lists of any length: b is halved, and a where the edits of both sides are fewest."""
+    if len(a) * len(b) <= MOST_CELLS or len(b) < 2:
+        return _table(a, b)
+    half = len(b) // 2
+    at = int(np.argmin(_column(a, b[:half]) + _column(a[::-1], b[half:][::-1])[::-1]))
+    return _stretch(a[:at], b[:half]) + [(None if i is None else i + at, None if j is None else j + half) for i, j in _stretch(a[at:], b[half:])]
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
     """Alignment of two token lists of any length, split at tokens both have once."""
     out, i, j = [], 0, 0
     for x, y in [*_anchors(a, b), (len(a), len(b))]:
-        out += [(None if p is None else p + i, None if q is None else q + j) for p, q in _table(a[i:x], b[j:y])]
+        out += [(None if p is None else p + i, None if q is None else q + j) for p, q in _stretch(a[i:x], b[j:y])]
         if x < len(a):
             out.append((x, y))
         i, j = x + 1, y + 1

@@ -75,3 +75,24 @@ def test_alignment_covers_both_sides_in_order():
         pairs = S.align(a, b)
         assert [x for x, _ in pairs if x is not None] == list(range(len(a))) and [y for _, y in pairs if y is not None] == list(range(len(b)))
         assert S.distance(a, a) == 0
+
+
+def test_long_stretches_without_common_unique_tokens_are_aligned_exactly(spark):
+    base = [str(k % 97) for k in range(2_000)]
+    with_word = lambda at: base[:at] + ["new", "new"] + base[at:]
+    assert S.distance(base, with_word(700)) == 2 == S.distance(with_word(700), base)
+    rows = [(1, " ".join(v)) for v in (with_word(3), with_word(900), with_word(1_500), base)]
+    assert S.consensus(spark.createDataFrame(rows, "g int, v string"), "g", "v").first()["value"] == " ".join(base)
+
+
+def test_halved_stretches_have_as_few_edits_as_the_whole_table(monkeypatch):
+    r = random.Random(2)
+    edits = lambda a, b, pairs: sum(x is None or y is None or a[x] != b[y] for x, y in pairs)
+    for _ in range(300):
+        a, b = ([r.choice("abc") for _ in range(r.randrange(40))] for _ in range(2))
+        whole = edits(a, b, S._table(a, b))
+        with monkeypatch.context() as m:
+            m.setattr(S, "MOST_CELLS", 4)
+            pairs = S._stretch(a, b)
+        assert edits(a, b, pairs) == whole
+        assert [x for x, _ in pairs if x is not None] == list(range(len(a))) and [y for _, y in pairs if y is not None] == list(range(len(b)))
