@@ -10,10 +10,11 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumidex.common import json_variant, persisted
@@ -91,7 +92,9 @@ class Index:
     unseen: list[float]
 
     @staticmethod
-    def build(entries: list[tuple[int, str]]) -> "Index":
+    def build(entries: list[tuple[int, str]], counted: "Counted | None" = None) -> "Index":
+        """counted: the forms of all blocks of the list, if entries are only one."""
+        counted = counted or Counted().add(s for _, s in entries)
         forms = [(t, n) for t, s in entries if (n := normalise(s))]
         exact: dict[str, set[int]] = defaultdict(set)
         for t, n in forms:
@@ -100,11 +103,7 @@ class Index:
         posts, idf, unseen = [], [], []
         for side in (0, 1):
             counts = [_count(grams(n)[side]) for _, n in forms]
-            df: dict[str, int] = defaultdict(int)
-            for c in counts:
-                for g in c:
-                    df[g] += 1
-            weight = {g: math.log(1 + len(forms) / k) for g, k in df.items()}
+            weight = {g: math.log(1 + counted.n / k) for g, k in counted.df[side].items()}
             lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
             for k, c in enumerate(counts):
                 norm = math.sqrt(sum((v * weight[g]) ** 2 for g, v in c.items()))
@@ -112,7 +111,7 @@ class Index:
                     lists[g].append((k, v * weight[g] / norm))
             posts.append(dict(lists))
             idf.append(weight)
-            unseen.append(math.log(1 + len(forms)))
+            unseen.append(math.log(1 + counted.n))
         return Index(forms, set(forms), dict(exact), posts, idf, unseen)
 
     def cosines(self, text: str) -> dict[int, float]:
@@ -130,18 +129,16 @@ class Index:
                     best[k] = s
         return best
 
-    def match(self, value: str) -> tuple[int | None, float, float]:
-        """(entry, score, score of the next other entry); the entry is None if no form is near enough."""
-        scored: dict[int, float] = {}
-        for text in readings(value):
+    def scores(self, value: str) -> Iterator[tuple[int, bool, dict[int, float]]]:
+        """(reading, exact, entry to score) of each reading; exact spellings leave no room for near ones."""
+        for number, text in enumerate(readings(value)):
             if not text:
                 continue
+            scored: dict[int, float] = {}
             hits = set().union(*(self.exact.get(k, set()) for k in _exact_keys(text)))
             for t in hits:
-                scored[t] = max(scored.get(t, 0.0), 2.0 if (t, text) in self.own else 1.9)
-            if hits:
-                continue
-            for k, cos in self.cosines(text).items():
+                scored[t] = 2.0 if (t, text) in self.own else 1.9
+            for k, cos in () if hits else self.cosines(text).items():
                 if cos < THRESHOLD:
                     continue
                 t, form = self.forms[k]
@@ -150,12 +147,35 @@ class Index:
                     s = cos - EDIT_WEIGHT * far / max(size, 1) + 1.0
                     if s > scored.get(t, -9.0):
                         scored[t] = s
+            yield number, bool(hits), scored
+
+    def match(self, value: str) -> tuple[int | None, float, float]:
+        """(entry, score, score of the next other entry); the entry is None if no form is near enough."""
+        scored: dict[int, float] = {}
+        for _, _, own in self.scores(value):
+            for t, s in own.items():
+                scored[t] = max(scored.get(t, -9.0), s)
         order = sorted(scored.items(), key=lambda x: (-x[1], x[0]))
         if not order:
             return None, 0.0, 0.0
         return order[0][0], order[0][1], order[1][1] if len(order) > 1 else -9.0
 
 
+class Counted:
+    """How many forms of a kind there are, and how many have each n-gram, over all blocks of the list."""
+
+    def __init__(self):
+        self.n, self.df = 0, (defaultdict(int), defaultdict(int))
+
+    def add(self, spellings: Iterable[str]) -> "Counted":
+        for form in filter(None, map(normalise, spellings)):
+            self.n += 1
+            for df, own in zip(self.df, grams(form)):
+                for g in set(own):
+                    df[g] += 1
+        return self
+
+
 def _count(own: list[str]) -> dict[str, int]:
     out: dict[str, int] = {}
     for g in own:
@@ -207,24 +227,49 @@ def lookup(values: DataFrame, terms: DataFrame, block_forms: int = BLOCK_FORMS)
     spellings = terms.select("term_id", "kind", F.explode(F.concat(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form")).filter(F.col("form").isNotNull())
     n = spellings.count()
     blocks = max(1, math.ceil(n / block_forms))
-    found = None
-    for block in range(blocks):
+
+    def entries_of(block: int) -> dict[str, list[tuple[int, str]]]:
         part = spellings.filter(F.pmod(F.xxhash64("term_id"), F.lit(blocks)) == block) if blocks > 1 else spellings
         entries = defaultdict(list)
         for r in part.collect():
             entries[r["kind"]].append((r["term_id"], r["form"]))
-        indexes = {k: Index.build(sorted(v)) for k, v in entries.items()}
+        return entries
+
+    counted: dict[str, Counted] = defaultdict(Counted)
+    for block in range(blocks if blocks > 1 else 0):
+        for k, own in entries_of(block).items():
+            counted[k].add(s for _, s in own)
+    found = None
+    for block in range(blocks):
+        indexes = {k: Index.build(sorted(v), counted.get(k)) for k, v in entries_of(block).items()}
 
         def kernel(frames, indexes=indexes):
             for f in frames:
                 out = [indexes[k].match(v) if k in indexes else (None, 0.0, -9.0) for k, v in zip(f["kind"], f["value"])]
                 yield pd.DataFrame({"kind": f["kind"], "value": f["value"], "term_id": pd.array([o[0] for o in out], "Int64"), "score": [float(o[1]) for o in out], "second": [float(o[2]) for o in out]})
 
-        one = values.mapInPandas(kernel, "kind string, value string, term_id bigint, score double, second double")
-        found = one if found is None else found.unionByName(one)
+        def parts(frames, indexes=indexes):
+            """The two best of each reading, which are enough for the two best of all, and a row for the value itself."""
+            for f in frames:
+                out = []
+                for k, v in zip(f["kind"], f["value"]):
+                    out.append((k, v, -1, False, None, 0.0))
+                    for number, exact, own in indexes[k].scores(v) if k in indexes else ():
+                        out += [(k, v, number, exact, t, s) for t, s in sorted(own.items(), key=lambda x: (-x[1], x[0]))[:2]]
+                yield pd.DataFrame(out, columns=["kind", "value", "reading", "exact", "term_id", "score"]).astype({"term_id": "Int64"})
+
+        if blocks == 1:
+            found = values.mapInPandas(kernel, "kind string, value string, term_id bigint, score double, second double")
+        else:
+            one = values.mapInPandas(parts, "kind string, value string, reading int, exact boolean, term_id bigint, score double")
+            found = one if found is None else found.unionByName(one)
     if blocks > 1:
-        top = found.groupBy("kind", "value").agg(F.max(F.struct("score", "term_id")).alias("t"), F.max("second").alias("s2"), F.sort_array(F.collect_list("score"), False).alias("scores"))
-        found = top.select("kind", "value", F.col("t.term_id").alias("term_id"), F.col("t.score").alias("score"), F.greatest("s2", F.coalesce(F.try_element_at("scores", F.lit(2)), F.lit(-9.0))).alias("second"))
+        exact = F.max("exact").over(Window.partitionBy("kind", "value", "reading"))
+        best = found.withColumn("any", exact).filter(F.col("exact") | ~F.col("any")).groupBy("kind", "value", "term_id").agg(F.max("score").alias("score"))
+        order = F.sort_array(F.collect_list(F.when(F.col("term_id").isNotNull(), F.struct("score", "term_id"))), False)
+        top = best.groupBy("kind", "value").agg(order.alias("order"))
+        at = lambda k: F.try_element_at("order", F.lit(k))
+        found = top.select("kind", "value", at(1)["term_id"].alias("term_id"), F.coalesce(at(1)["score"], F.lit(0.0)).alias("score"), F.coalesce(at(2)["score"], F.lit(-9.0)).alias("second"))
     meant = F.col("term_id").isNotNull() & (F.col("score") - F.col("second") >= MARGIN)
     return found.select("kind", "value", F.when(meant, F.col("term_id")).otherwise(F.lit(-1)).alias("term_id"), "score")
 

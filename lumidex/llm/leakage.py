@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -147,24 +148,21 @@ class Windows:
         return (np.concatenate(out_p), np.concatenate(out_w)) if out_p else (np.empty(0, int), np.empty(0, int))
 
 
-class Index:
-    """The windows of one block of items, and the weights of their shingles."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        hasher = Hasher()
-        hashed = [(i, hasher(words(t))) for i, t in items]
-        by_width: dict[int, list] = defaultdict(list)
-        for i, h in hashed:
-            if len(h):
-                by_width[min(len(h), PASSAGE)].append((i, h))
-        self.windows = [Windows.build(own, w) for w, own in sorted(by_width.items())]
-        df: dict[int, int] = defaultdict(int)
-        for _, h in hashed:
-            for s in set(shingles(h, min(SHINGLE, len(h))).tolist()) if len(h) else ():
-                df[s] += 1
-        n = max(len(hashed), 1)
-        keys = np.array(sorted(df), np.uint64)
-        self.keys, self.weights = keys, np.array([math.log(1 + n / df[int(k)]) for k in keys])
+class Weights:
+    """Weights of shingles by the items that have them, over all blocks of items."""
+
+    def __init__(self, blocks: Iterable[list[tuple[int, str]]]):
+        hasher, n = Hasher(), 0
+        keys, df = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for items in blocks:
+            own = [np.unique(shingles(h, min(SHINGLE, len(h)))) for h in (hasher(words(t)) for _, t in items) if len(h)]
+            n += len(items)
+            keys, at = np.unique(np.concatenate([keys, *own]), return_inverse=True)
+            counts = np.zeros(len(keys), np.int64)
+            np.add.at(counts, at, np.concatenate([df, np.ones(len(at) - len(df), np.int64)]))
+            df = counts
+        n = max(n, 1)
+        self.keys, self.weights = keys, np.log(1 + n / df)
         self.unseen = math.log(1 + n)
 
     def weight(self, own: np.ndarray) -> np.ndarray:
@@ -183,7 +181,19 @@ class Index:
         both = np.where((sa[:, :, None] == sb[:, None, :]).any(axis=2), wa, 0.0).sum(axis=1)
         return both / (wa.sum(axis=1) + wb.sum(axis=1) - both)
 
-    def scan(self, docs: list[tuple[int, np.ndarray]]):
+class Index:
+    """The windows of one block of items."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        hasher = Hasher()
+        by_width: dict[int, list] = defaultdict(list)
+        for i, t in items:
+            h = hasher(words(t))
+            if len(h):
+                by_width[min(len(h), PASSAGE)].append((i, h))
+        self.windows = [Windows.build(own, w) for w, own in sorted(by_width.items())]
+
+    def scan(self, docs: list[tuple[int, np.ndarray]], weights: Weights):
         """(document number, item, windows found, best similarity, equal windows) for a batch of hashed documents."""
         hashes = np.concatenate([h for _, h in docs]) if docs else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(docs)), [len(h) for _, h in docs])
@@ -203,7 +213,7 @@ class Index:
                 rest = np.flatnonzero(~equal)
                 for k in range(0, len(rest), 4_096):
                     part = rest[k : k + 4_096]
-                    score[part] = self.similarity(mine[part], theirs[part])
+                    score[part] = weights.similarity(mine[part], theirs[part])
                 for k in np.flatnonzero(score >= SIMILARITY - ROUNDING):
                     for item in w.owners[window[k]]:
                         entry = found.setdefault((int(owner[start + place[k]]), int(item)), [0, 0.0, 0])
@@ -225,10 +235,16 @@ def leaks(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS
     blocks = max(1, math.ceil((texts.agg(F.sum(F.length("text"))).first()[0] or 0) / block_chars))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("similarity", pa.float64()), ("n_equal", pa.int64())])
     docs = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.length("text") > 0))
-    out = None
-    for block in range(blocks):
+    texts = texts.distinct()
+
+    def items_of(block: int) -> list[tuple[int, str]]:
         part = texts.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else texts
-        shipped = documents.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part.distinct().collect()]))
+        return [(r["item_id"], r["text"]) for r in part.collect()]
+
+    send = documents.sparkSession.sparkContext.broadcast
+    weights, out = send(Weights(map(items_of, range(blocks)))), None
+    for block in range(blocks):
+        shipped = send(Index(items_of(block)))
 
         def kernel(batches, shipped=shipped):
             index, hasher = shipped.value, Hasher()
@@ -240,7 +256,7 @@ def leaks(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS
                     held.append((i, h))
                     size += len(h)
                     if size > SLICE or k + 1 == len(ids):
-                        rows += index.scan(held)
+                        rows += index.scan(held, weights.value)
                         held, size = [], 0
                 columns = zip(*rows) if rows else [[] for _ in schema]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

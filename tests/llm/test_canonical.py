@@ -50,3 +50,10 @@ def test_a_value_that_fills_a_third_of_the_rows(spark):
     cells = [(k, json.dumps({"colors": ["Sky-Blue" if k % 3 == 0 else f"no{k}ne"], "tags": []})) for k in range(900)]
     got = C.mapped(spark.createDataFrame(cells, "id bigint, info string"), spark.createDataFrame(TERMS, TERM_DDL)).collect()
     assert len(got) == 900 and all((r["term_id"] == 2) == (r["id"] % 3 == 0) for r in got)
+
+
+def test_scores_do_not_depend_on_the_number_of_blocks(spark):
+    values = spark.createDataFrame([*[c[:2] for c in CASES], ("tag", "kitchens"), ("tag", "kittenn"), ("color", "light bleu")], "kind string, value string")
+    terms = spark.createDataFrame([*TERMS, (11, "tag", "kitchens of", []), (12, "color", "light blues", [])], TERM_DDL)
+    whole, parts = ({(r["kind"], r["value"]): (r["term_id"], round(r["score"], 9)) for r in C.lookup(values, terms, n).collect()} for n in (50_000, 3))
+    assert whole == parts and len(whole) == len(CASES) + 3

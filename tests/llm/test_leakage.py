@@ -121,3 +121,16 @@ def test_leaks_have_every_window_with_an_end_word_changed_within_the_radius(spar
 def test_leaks_have_no_window_with_a_word_changed_inside(spark):
     """It leaves 4 to 7 shingles of 11 to 14, less than SIMILARITY."""
     assert changed_at(spark, range(1, 12))[0] == 0
+
+
+def test_near_windows_do_not_depend_on_the_number_of_blocks(spark):
+    r = random.Random(5)
+    say = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    items, docs = [], []
+    for k in range(60):
+        shared, own = say(5), say(20)
+        items += [(2 * k, " ".join(own), ""), (2 * k + 1, " ".join(own[:9] + shared), "")]  # shingles that two items have
+        docs.append((k, " ".join(["x", *own[1:13], "y"]), "", ""))
+    run = lambda chars: sorted((r["doc_id"], r["item_id"], r["n_windows"], r["n_equal"], round(r["similarity"], 9)) for r in L.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), chars).collect())
+    whole = run(4_000_000)
+    assert whole == run(5_000) and len(whole) > 20
