@@ -196,6 +196,13 @@ def ignore_globs(spark, d):
     return rows.select("library", "path", dropped.alias("dropped"))
 
 
+@query()
+def ignore_globs_all(spark, d):
+    """Every listed path of all scans."""
+    rows = table(spark, d, "file_listing").select("library", "path").distinct()
+    return rows.select("library", "path", diff.dropped(config(spark, d)).alias("dropped"))
+
+
 @query(f"WITH {_LISTING} SELECT coalesce(o.library, n.library) AS library, coalesce(o.path, n.path) AS path, o.id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN coalesce(o.size = n.size AND abs(o.mtime - n.mtime) < 1.0, false) THEN 'unchanged' ELSE 'updated' END AS action FROM images o FULL JOIN want n ON o.library = n.library AND o.path = n.path")
 def snapshot_diff(spark, d):
     listing = diff.wanted(diff.latest(table(spark, d, "file_listing"), SCAN), config(spark, d))
@@ -292,6 +299,13 @@ def when_text(spark, d):
     return images(spark, d).filter(F.col("ctime").between(0, 4e9)).select("id", scalars.when_text(F.col("ctime")).alias("text"))
 
 
+@query()
+def when_text_all(spark, d):
+    """Every row; '' for times that are null, no number or outside the years 1 to 9999."""
+    known = F.when(F.col("ctime").between(-62_135_596_800, 253_402_300_799), scalars.when_text(F.col("ctime")))
+    return images(spark, d).select("id", F.coalesce(known, F.lit("")).alias("text"))
+
+
 @query("SELECT id, '/detail?id=' || id AS page, '/api/image/' || id AS data, '/thumb/' || id AS thumb, '/image/' || id AS image, 'images/' || id || '.' || CASE WHEN ends_with(lower(name), '.heic') OR regexp_extract(lower(name), '[^./][^/]*\\.([^./]+)$', 1) = '' THEN 'jpg' ELSE regexp_extract(lower(name), '[^./][^/]*\\.([^./]+)$', 1) END AS file FROM images")
 def record_links(spark, d):
     return images(spark, d).select("id", scalars.links(F.col("id"), F.col("name")).alias("l")).select("id", "l.*")

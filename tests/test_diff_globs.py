@@ -88,3 +88,21 @@ def test_number(spark):
     got = sorted(diff.number(rows, ["k", "v"]).collect(), key=lambda r: r["place"])
     assert [r["place"] for r in got] == list(range(1, 201)) and [(r["k"], r["v"]) for r in got] == sorted((r["k"], r["v"]) for r in got)
     assert diff.number(rows.limit(0), ["k", "v"]).count() == 0
+
+
+def test_globs_are_tested_on_the_paths_of_all_scans(spark, small):
+    from lumidex.plans import catalog
+
+    listed = {(r["library"], r["path"]) for r in spark.read.parquet(f"{small}/file_listing.parquet").collect()}
+    got = {(r["library"], r["path"]): r["dropped"] for r in catalog.ignore_globs_all(spark, small).collect()}
+    last = {(r["library"], r["path"]): r["dropped"] for r in catalog.ignore_globs(spark, small).collect()}
+    assert set(got) == listed > set(last) and all(got[k] == v for k, v in last.items())
+
+
+def test_every_time_has_a_text(spark, tmp_path):
+    from lumidex.plans import catalog
+
+    times = [None, 0.0, 86_400.0, -1.0, 5e9, 1e300, float("nan"), float("-inf")]
+    spark.createDataFrame(list(enumerate(times)), "id bigint, ctime double").write.parquet(f"{tmp_path}/images.parquet")
+    got = {r["id"]: r["text"] for r in catalog.when_text_all(spark, tmp_path).collect()}
+    assert got == {0: "", 1: "", 2: "1970-01-02 00:00:00", 3: "1969-12-31 23:59:59", 4: "2128-06-11 08:53:20", 5: "", 6: "", 7: ""}
