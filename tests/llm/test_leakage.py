@@ -134,3 +134,74 @@ def test_near_windows_do_not_depend_on_the_number_of_blocks(spark):
     run = lambda chars: sorted((r["doc_id"], r["item_id"], r["n_windows"], r["n_equal"], round(r["similarity"], 9)) for r in L.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), chars).collect())
     whole = run(4_000_000)
     assert whole == run(5_000) and len(whole) > 20
+
+
+def planted(kind, length, n=200, seed=6):
+    """n items of `length` random words, and as many documents that hold one each, edited, between other words."""
+    r = random.Random(seed)
+    say = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    items, docs = [], []
+    for k in range(n):
+        own = say(length)
+        items.append((k, " ".join(own), ""))
+        copy = list(own)
+        for at in r.sample(range(length), 2 if kind == "two changed" else 1):
+            if kind == "inserted":
+                copy[at:at] = say(1)
+            elif kind == "dropped":
+                del copy[at]
+            elif kind != "unchanged":
+                copy[at] = say(1)[0]
+        docs.append((k, " ".join([*say(20), *copy, *say(20)]), "", ""))
+    return docs, items
+
+
+def recall(spark, kind, length, rule, **more):
+    docs, items = planted(kind, length, **more)
+    rows = L.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), rule=rule).collect()
+    assert all(r["doc_id"] == r["item_id"] for r in rows)
+    return len(rows) / len(items)
+
+
+#: A looser rule than the default one, for passages edited inside.
+EDITED = L.Rule(radius=15, shingle=2, similarity=0.5)
+
+
+@pytest.mark.parametrize("kind", ["unchanged", "one changed", "two changed", "inserted", "dropped"])
+def test_recall_of_edited_passages_by_a_looser_rule(spark, kind):
+    """Passages of 13 words, edited anywhere, through leaks to the end."""
+    assert recall(spark, kind, 13, EDITED) >= 0.9
+
+
+@pytest.mark.parametrize(("kind", "length"), [("unchanged", 13), ("unchanged", 34), ("one changed", 34), ("inserted", 34), ("dropped", 34), ("two changed", 60)])
+def test_recall_of_whole_items_by_the_default_rule(spark, kind, length):
+    """An item edited in one place of at least 27 words, or in two of at least 41, keeps 13 equal words."""
+    assert recall(spark, kind, length, L.Rule()) == 1.0
+
+
+@pytest.mark.parametrize("rule", [L.Rule(), EDITED, L.Rule(radius=11, shingle=3, similarity=0.6)])
+def test_the_filter_keeps_every_similar_window(spark, rule):
+    """Against all pairs of windows within the radius, with repeated words and shingles that items share."""
+    r = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(25)]
+    items = [(k, " ".join(r.choice(vocabulary[:20]) for _ in range(20)), "") for k in range(30)]
+    docs = []
+    for d in range(60):
+        w = items[d % 30][1].split()
+        for at in r.sample(range(20), d % 3):
+            w[at] = r.choice(vocabulary)
+        docs.append((d, " ".join(w + w[:3] * (d % 4)), "", ""))
+    hasher = L.Hasher()
+    weights = L.Weights([[(i, t) for i, t, _ in items]], rule)
+    expected = set()
+    for d, t, *_ in docs:
+        mine = L.runs(hasher(L.words(t)), 13)
+        for i, u, _ in items:
+            theirs = L.runs(hasher(L.words(u)), 13)
+            a, b = (x.ravel() for x in np.indices((len(mine), len(theirs))))
+            near = np.bitwise_count(L.fingerprints(mine)[a] ^ L.fingerprints(theirs)[b]) <= rule.radius
+            if (near & (weights.similarity(mine[a], theirs[b], rule.size(13)) >= rule.similarity - 1e-9)).any():
+                expected.add((d, i))
+    for chars in (4_000_000, 800):
+        rows = L.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), chars, rule).collect()
+        assert {(x["doc_id"], x["item_id"]) for x in rows} == expected and len(expected) >= 40
