@@ -8,13 +8,14 @@ language with the greatest share decides; its lead over the next gives the confi
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumidex.common import spread
@@ -29,6 +30,8 @@ LANGUAGES = list(NAMES)
 
 #: The filters are fitted on at most so many documents of each denoted language, chosen by the hash of their ids.
 TRAIN_DOCS = 1_500
+#: And on about so many characters of each, which only very long documents reach.
+TRAIN_CHARS = 8_000_000
 #: Slots of the filter (a power of two) and hash functions.
 SLOTS = 1 << 21
 HASHES = 3
@@ -174,12 +177,28 @@ def fit(lines: list[tuple[str, str]]) -> Filters:
     return Filters([names[k] for k in used], masks[used])
 
 
-def train(documents: DataFrame, docs_each: int = TRAIN_DOCS) -> Filters:
-    """Filters fitted on at most docs_each documents of each denoted language."""
-    own = documents.select(denoted(F.col("lang")).alias("code"), "text", F.xxhash64("doc_id").alias("h")).filter(F.col("code").isNotNull() & (F.length("text") > 0))
-    place = Window.partitionBy("code").orderBy("h")
-    sample = own.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= docs_each).select("code", "text").collect()
-    return fit([(r["code"], s) for r in sample for s in segments(r["text"])])
+def sample(documents: DataFrame, docs_each: int = TRAIN_DOCS, chars_each: int = TRAIN_CHARS) -> DataFrame:
+    """(code, text, h): about docs_each documents, and chars_each characters, of each denoted language, chosen by the hash h of their ids.
+
+    Two passes: documents and characters are counted by code, then each code's share of
+    hashes is read. Only the chosen texts are shuffled, to drop repeated rows; no window
+    or sort sees the others.
+    """
+    own = documents.select(denoted(F.col("lang")).alias("code"), "doc_id", "text").filter(F.col("code").isNotNull() & (F.length("text") > 0))
+    counts = own.groupBy("code").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
+    share = {r["code"]: min(1.0, docs_each / r["n"], chars_each / r["chars"]) for r in counts}
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    below = functools.reduce(lambda x, c: x.when(F.col("code") == c, h < int(share[c] * (1 << 31))), sorted(share), F.when(F.lit(False), F.lit(False)))
+    return own.withColumn("h", h).filter(F.coalesce(below, F.lit(False))).dropDuplicates(["code", "doc_id", "text"]).select("code", "text", "h")
+
+
+def train(documents: DataFrame, docs_each: int = TRAIN_DOCS, chars_each: int = TRAIN_CHARS) -> Filters:
+    """Filters fitted on at most docs_each documents of each denoted language, of about chars_each characters together."""
+    by_code: dict[str, list] = {}
+    for r in sample(documents, docs_each, chars_each).collect():
+        by_code.setdefault(r["code"], []).append((r["h"], r["text"]))
+    kept = [(code, text) for code in sorted(by_code) for _, text in sorted(by_code[code])[:docs_each]]
+    return fit([(code, s) for code, text in kept for s in segments(text)])
 
 
 def segment_languages(documents: DataFrame, filters: Filters | None = None) -> DataFrame:

@@ -63,3 +63,19 @@ def test_wrong_labels_are_outvoted(spark):
     spoiled = [(L.LANGUAGES[k % 9] if k % 5 == 0 else code, s) for k, (code, s) in enumerate(lines)]
     clean, noisy = (L.decide(L.fit(x).scores([L.words(s) for _, s in lines]))[0] for x in (lines, spoiled))
     assert sum(a == b for a, b in zip(clean, noisy)) / len(lines) > 0.98
+
+
+def test_training_shuffles_only_its_sample(spark, tmp_path):
+    """A third of all texts in one language are neither sorted nor sent anywhere: the bound on the hash is applied where they are read."""
+    documents = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text number "), "id").alias("text"), F.when(F.col("id") < 2_900, "en").otherwise("German").alias("lang"))
+    documents.write.parquet(f"{tmp_path}/documents")
+    documents = spark.read.parquet(f"{tmp_path}/documents")
+    chosen = L.sample(documents, docs_each=200)
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1 and "pmod(xxhash64" in plan[plan.index("Exchange") :]
+    n = {r["code"]: r["count"] for r in chosen.groupBy("code").count().collect()}
+    assert n["de"] == 100 and 120 < n["en"] < 280
+    few = {r["code"]: r["count"] for r in L.sample(documents, docs_each=200, chars_each=1_000).groupBy("code").count().collect()}
+    assert 20 < few["en"] < 90 and 20 < few["de"] < 80
+    again = spark.range(500).select(F.lit(1).alias("doc_id"), F.lit("same text").alias("text"), F.lit("en").alias("lang"))
+    assert L.sample(again).count() == 1 and L.sample(documents.limit(0)).count() == 0
