@@ -61,13 +61,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _refuse(word: str):
+    raise ValueError(f"{word} is no JSON")
+
+
 def decode(text: str | None):
-    """The JSON value of a cell, or None: blank and invalid text hold nothing; twice encoded counts as once."""
+    """The JSON value of a cell, or None: blank and invalid text hold nothing, NaN and Infinity are invalid; twice encoded counts as once."""
     if not text:
         return None
     try:
-        value = json.loads(text)
-        return json.loads(value) if isinstance(value, str) else value
+        value = json.loads(text, parse_constant=_refuse)
+        return json.loads(value, parse_constant=_refuse) if isinstance(value, str) else value
     except (ValueError, RecursionError):
         return None
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -114,3 +115,49 @@ def test_flat_rows_have_every_value_and_every_parent_on_the_table(spark, small):
     assert Counter((r["id"], r["root"], r["value"]) for r in rows if r["value"] is not None) == texts and texts
     keys = {(r["id"], r["rel"], r["row_key"]) for r in rows}
     assert all(r["parent_rel"] is None or (r["id"], r["parent_rel"], r["parent_key"]) in keys for r in rows)
+
+
+def test_keys_with_dots_brackets_and_case_stay_apart(spark, tmp_path):
+    cells = ['{"a.b": 1, "a": {"b": 2}, "A.B": 5}', '{"x[]": {"y": 1}, "x": [{"y": 2}], "k\\\\": 3}', '{"k": 1, "k": {"m": 2}}', '{"n": NaN}', '{"n": [1, -Infinity]}', '{"n": 1e5, "m": -0, "o": 1.50}']
+    df = spark.createDataFrame(list(enumerate(cells)), "id bigint, info string")
+    shredded = nested.rows(df, ["info"])
+    named = nested.write_tables(shredded, f"{tmp_path}/tables")
+    assert set(named) == {"info", "info.x[]"}
+    top = {r["id"]: {p: r[n] for n, p in named["info"].items() if r[n] is not None} for r in spark.read.parquet(f"{tmp_path}/tables/info").collect()}
+    assert top == {0: {"a\\.b": "1", "a.b": "2", "A\\.B": "5"}, 1: {"x\\[\\].y": "1", "k\\\\": "3"}, 2: {"k.m": "2"}, 5: {"n": "100000.0", "m": "0", "o": "1.5"}}
+    rows = spark.read.parquet(f"{tmp_path}/tables/info.x%5B%5D").collect()
+    assert [(r["id"], r["row_key"], r["parent_key"], r["c_y"]) for r in rows] == [(1, "0", "", "2")]
+    assert {(r["id"], r["node"]) for r in nested.nodes(df, ["info"]).collect()} == {(0, "info.a"), (1, "info.x[]"), (1, "info.x[0]"), (2, "info.k")}
+    assert decode('{"n": NaN}') is None and decode('"[-Infinity]"') is None
+    assert nested.write_tables(shredded.limit(0), f"{tmp_path}/none") == {}
+
+
+def test_stream_agrees_with_a_whole_parser_on_spoiled_text():
+    r = random.Random(3)
+
+    def value(depth):
+        x = r.random()
+        if depth <= 0 or x < 0.3:
+            return r.choice([None, True, 1, -0.0, 1.5, 'a"b\\c', "", "é ", 12345678901234567890, "x.y"])
+        if x < 0.65:
+            return {r.choice(["a", "b", "a.b", "x[]", "", '"', "é"]): value(depth - 1) for _ in range(r.randrange(4))}
+        return [value(depth - 1) for _ in range(r.randrange(4))]
+
+    def leaves(v, node):
+        yield node, json.dumps(v) if isinstance(v, (int, float)) else v if isinstance(v, str) else None
+        for k, x in v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ():
+            yield from leaves(x, f"{node}.{k}" if isinstance(v, dict) else f"{node}[{k}]")
+
+    usable = 0
+    for _ in range(4_000):
+        cell = json.dumps(value(5), ensure_ascii=r.random() < 0.5, indent=r.choice([None, 1]))
+        cell = json.dumps(cell) if r.random() < 0.2 else cell
+        if r.random() < 0.5:
+            k = r.randrange(len(cell))
+            cell = cell[:k] + r.choice('{}[],:"\\0 1-tnu\n') + cell[k + 1 :]
+        top = decode(cell)
+        want = Counter(leaves(top, "info")) if isinstance(top, (dict, list)) else Counter()
+        got = Counter((x[4], None if x[2] == "null" else x[3]) for x in nested.walk("info", cell))
+        assert Counter({k: n for k, n in got.items()}) == Counter({(n, None if v is None else "true" if v == "True" else v): c for (n, v), c in want.items()}), cell
+        usable += bool(want)
+    assert usable > 1_500
