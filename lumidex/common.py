@@ -77,7 +77,13 @@ def decode(text: str | None):
 
 
 def json_variant(column: str) -> "F.Column":
-    """The cell as VARIANT, null for invalid JSON; twice encoded counts as once."""
+    """The cell as VARIANT, null for invalid JSON; twice encoded counts as once.
+
+    Of a repeated key the last value holds, as in decode(); this is a setting of the
+    session, read when the expression is analysed. Nesting beyond 1,000 levels and numbers
+    of over 1,000 digits are null here, though decode() reads them.
+    """
+    SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     once = F.try_parse_json(F.col(column))
     inner = F.try_parse_json(F.try_variant_get(once, "$", "string"))
     return F.when(F.ltrim(F.col(column)).startswith('"'), inner).otherwise(once)

@@ -56,14 +56,24 @@ def p2_found(spark, d):
 
 def p2_near(spark, d):
     located = persisted(positions.positions(table(spark, d, "images")), "located")
-    return positions.near(located, located.filter(F.col("id") % 100 == 0), 1000.0).withColumn("nearest_m", F.round("nearest_m", 3))
+    return positions.near(located, located.filter(F.col("id") % 100 == 0), 1000.0, written=True).withColumn("nearest_m", F.round("nearest_m", 3))
+
+
+def p2_neighbours(spark, d):
+    """The positions near those of every hundredth picture; p2_classes says which pictures share each."""
+    located = persisted(positions.positions(table(spark, d, "images")), "located")
+    return positions.neighbours(located, located.filter(F.col("id") % 100 == 0), 1000.0).withColumn("metres", F.round("metres", 3))
+
+
+def p2_classes(spark, d):
+    return positions.memberships(persisted(positions.positions(table(spark, d, "images")), "located"))
 
 
 def p3_found(spark, d):
     return instants.image_instants(table(spark, d, "images"), table(spark, d, "libraries"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_catalog, p1_rows, p1_subjects, p1_all_subjects, p1_marks, p1_all_marks, p2_found, p2_near, p3_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_catalog, p1_rows, p1_subjects, p1_all_subjects, p1_marks, p1_all_marks, p2_found, p2_near, p2_neighbours, p2_classes, p3_found)}
 
 def _tree(column: str) -> str:
     cell = f"CASE WHEN {column} <> '' AND json_valid({column}) THEN CASE WHEN json_type({column}) = 'VARCHAR' THEN json_extract_string({column}, '$') ELSE {column} END END"
@@ -116,6 +126,11 @@ _NEAR = f"""WITH {_POSITIONS}, far AS (SELECT q.id, 2 * 6371000.0 * asin(sqrt(le
 n AS (SELECT id, count(*) AS n_near, min(m) AS m FROM far WHERE m <= 1000.0 GROUP BY id)
 SELECT pts.id, coalesce(n_near, 0) AS n_near, round(m, 3) AS nearest_m FROM pts LEFT JOIN n USING (id) WHERE pts.id % 100 = 0"""
 
+_CLASSES = f"""WITH {_POSITIONS}, c AS (SELECT lat, lon, min(id) AS class_id, count(*) AS n FROM pts GROUP BY lat, lon)"""
+_NEIGHBOURS = f"""{_CLASSES}, q AS (SELECT DISTINCT class_id, c.lat, c.lon FROM c JOIN pts ON pts.lat = c.lat AND pts.lon = c.lon WHERE pts.id % 100 = 0),
+far AS (SELECT q.class_id, c.class_id AS near_class, c.n, 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(c.lat - q.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(q.lat)) * pow(sin(radians(c.lon - q.lon) / 2), 2)))) AS m FROM q JOIN c ON c.class_id <> q.class_id)
+SELECT class_id, near_class, n, round(m, 3) AS metres FROM far WHERE m <= 1000.0"""
+
 _INFO = """i AS (SELECT id, CASE WHEN info <> '' AND json_valid(info) THEN CASE WHEN json_type(info) = 'VARCHAR' THEN json_extract_string(info, '$') ELSE info END END AS j FROM images),
 s AS (SELECT id, k, json_extract(j, '$.subjects[' || k || ']') AS x FROM (SELECT id, j, unnest(range(0, CAST(json_array_length(j, '$.subjects') AS BIGINT))) AS k FROM i WHERE json_type(j, '$.subjects') = 'ARRAY'))"""
 _SUBJECTS = f"""WITH {_INFO} SELECT id, k::VARCHAR AS row_key, '' AS parent_key, CASE WHEN json_type(x) NOT IN ('OBJECT', 'NULL') THEN json_extract_string(x, '$') END AS value, json_extract_string(x, '$.name') AS name,
@@ -124,4 +139,4 @@ _MARKS = f"""WITH {_INFO}, p AS (SELECT id, k, q, json_extract(x, '$.parts[' ||
 m AS (SELECT id, k, q, r, json_extract(y, '$.marks[' || r || ']') AS z FROM (SELECT id, k, q, y, unnest(range(0, CAST(json_array_length(y, '$.marks') AS BIGINT))) AS r FROM p WHERE json_type(y, '$.marks') = 'ARRAY'))
 SELECT id, k || '.' || q || '.' || r AS row_key, k || '.' || q AS parent_key, json_extract_string(z, '$.kind') AS kind, json_extract_string(z, '$.reading') AS reading FROM m"""
 
-SQL = {"p1_found": _NODES, "p1_catalog": _CATALOG, "p1_subjects": _SUBJECTS, "p1_marks": _MARKS, "p2_found": _PLACED, "p2_near": _NEAR, "p3_found": _INSTANTS}
+SQL = {"p1_found": _NODES, "p1_catalog": _CATALOG, "p1_subjects": _SUBJECTS, "p1_marks": _MARKS, "p2_found": _PLACED, "p2_near": _NEAR, "p2_neighbours": _NEIGHBOURS, "p2_classes": f"{_CLASSES} SELECT pts.id, class_id FROM pts JOIN c ON pts.lat = c.lat AND pts.lon = c.lon", "p3_found": _INSTANTS}
