@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumidex.common import persisted
 from lumidex.functions.scalars import export_extension
 from lumidex.schema import SHARD_LIMIT
 
@@ -39,30 +42,89 @@ def digests(records: DataFrame) -> DataFrame:
     return records.select("id", F.sha1(text).alias("digest"), (F.length(text) + 2).cast("bigint").alias("size"))
 
 
+def _starts(totals: np.ndarray, first: int, limit: int) -> list[int]:
+    """Places where shards open, from `first` on, by running totals (one more than items)."""
+    out, n = [], len(totals) - 1
+    while first < n:
+        out.append(first)
+        first = max(int(np.searchsorted(totals, totals[first] + limit, "right")) - 1, first + 1)
+    return out
+
+
+def _first(totals: np.ndarray, used: int, empty: bool, limit: int) -> int:
+    """Where the first shard opens when the one before holds `used` bytes; the number of items if it takes them all."""
+    return max(int(np.searchsorted(totals, limit - used, "right")) - 1, 1 if empty else 0)
+
+
+def _outcomes(totals: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every place the first shard of these items may open at: the running total after its item, the shards opened, and the bytes in the last."""
+    n = len(totals) - 1
+    after = np.maximum(np.searchsorted(totals, totals[:-1] + limit, "right") - 1, np.arange(1, n + 1))
+    opened, left = np.ones(n, np.int64), totals[n] - totals[:-1]
+    for k in np.flatnonzero(after < n)[::-1]:
+        opened[k], left[k] = opened[after[k]] + 1, left[after[k]]
+    can = min(n, max(_first(totals, 0, False, limit), 1) + 1)
+    return totals[1 : can + 1], opened[:can], left[:can]
+
+
 def next_fit(items: DataFrame, limit: int = SHARD_LIMIT, shard: int = 0, used: int = 0, empty: bool = True) -> DataFrame:
     """(id, size, shard, offset): items in the order of id appended to the last shard; a new one opens when a shard that holds something would pass the limit.
 
     Exactly the limit fits; an item larger than it is alone. The first shard is `shard`
-    with `used` bytes; empty says that it holds nothing. Each place depends on all before,
-    so (id, size) rows stream, sorted, through one task that holds a shard's total and
-    nothing else. Null sizes count as 0.
+    with `used` bytes; empty says that it holds nothing. Null and negative sizes count as 0.
+
+    Ranges of ids are packed in parallel: each range first tells, for every place its
+    first shard may open at, how many shards it opens and how full the last is. The driver
+    reads these range by range and keeps one state per range; then each range is packed
+    from its state. With one range the first step falls away.
     """
-    ordered = items.select(F.col("id").cast("bigint").alias("id"), F.coalesce(F.col("size").cast("bigint"), F.lit(0)).alias("size")).repartitionByRange("id").sortWithinPartitions("id").coalesce(1)
-    schema = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("shard", pa.int64()), ("offset", pa.int64())])
-
-    def kernel(batches):
-        at, total, nothing = shard, used, empty
-        for b in batches:
-            shards, offsets = [], []
-            for size in b.column("size").to_pylist():
-                if not nothing and total + size > limit:
-                    at, total = at + 1, 0
-                shards.append(at)
-                offsets.append(total)
-                total, nothing = total + size, False
-            yield pa.record_batch([b.column("id"), b.column("size"), pa.array(shards, pa.int64()), pa.array(offsets, pa.int64())], schema=schema)
-
-    return ordered.mapInArrow(kernel, "id bigint, size bigint, shard bigint, offset bigint")
+    size = F.greatest(F.coalesce(F.col("size").cast("bigint"), F.lit(0)), F.lit(0))
+    rows = items.select(F.col("id").cast("bigint").alias("id"), size.alias("size"))
+    parts = persisted(rows.repartitionByRange("id").withColumn("part", F.spark_partition_id()), "ranges")
+    numbers = sorted(r["part"] for r in parts.select("part").distinct().collect())
+    states = {}
+    if len(numbers) > 1:
+
+        def tell(own: pa.Table) -> pa.Table:
+            every = _totals(_sorted(own))
+            totals, opened, left = _outcomes(every, limit)
+            return pa.table({"part": own["part"][:1], "n": [own.num_rows], "whole": [int(every[-1])], "totals": [totals.tobytes()], "opened": [opened.tobytes()], "left": [left.tobytes()]})
+
+        told = persisted(parts.groupBy("part").applyInArrow(tell, "part int, n bigint, whole bigint, totals binary, opened binary, left binary"), "outcomes")
+        for r in told.orderBy("part").toLocalIterator():
+            states[r["part"]] = (shard, used, empty)
+            totals, opened, left = (np.frombuffer(r[c], np.int64) for c in ("totals", "opened", "left"))
+            k = _first(np.r_[0, totals], used, empty, limit)
+            if k >= r["n"]:
+                used += r["whole"]
+            elif k < len(opened):
+                shard, used = shard + int(opened[k]), int(left[k])
+            empty = False
+    elif numbers:
+        states[numbers[0]] = (shard, used, empty)
+    shared = items.sparkSession.sparkContext.broadcast(states)
+
+    def pack(own: pa.Table) -> pa.Table:
+        own = _sorted(own)
+        totals = _totals(own)
+        number, before, nothing = shared.value[own["part"][0].as_py()]
+        starts = np.array(_starts(totals, _first(totals, before, nothing, limit), limit), int)
+        opens = np.zeros(own.num_rows, np.int64)
+        opens[starts] = 1
+        opened = np.cumsum(opens)
+        base = np.r_[-before, totals[starts]][opened]
+        return pa.table({"id": own["id"], "size": own["size"], "shard": number + opened, "offset": totals[:-1] - base})
+
+    return parts.groupBy("part").applyInArrow(pack, "id bigint, size bigint, shard bigint, offset bigint")
+
+
+def _sorted(own: pa.Table) -> pa.Table:
+    return own.take(pc.sort_indices(own, sort_keys=[("id", "ascending"), ("size", "ascending")], null_placement="at_start"))
+
+
+def _totals(own: pa.Table) -> np.ndarray:
+    """Running totals of the sizes, from 0."""
+    return np.r_[0, np.cumsum(own["size"].to_numpy(), dtype=np.int64)]
 
 
 def plan(current: DataFrame, previous: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:

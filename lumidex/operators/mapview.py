@@ -128,11 +128,11 @@ class Pins:
 def greedy_pins(points: DataFrame, width: int = PIN_WIDTH, height: int = PIN_HEIGHT, radius: float = PIN_RADIUS) -> DataFrame:
     """(pin, x, y, n): greedy pin clusters of the points (id, lat, lon) in the order of id.
 
-    Each point depends on all before it, so rows stream, sorted, through one task, which
-    holds only the clusters: at most about one per circle of the radius on the picture.
+    Each point depends on all before it, so narrow rows go through one exchange to one task,
+    which sorts them (on disk where they don't fit) and streams them; it holds only the clusters: at most about one per circle of the radius on the picture.
     """
     x, y = project(F.col("lat"), F.col("lon"), width, height)
-    ordered = points.select("id", x.alias("x"), y.alias("y")).repartitionByRange("id").sortWithinPartitions("id", "x", "y").coalesce(1)
+    ordered = points.select("id", x.alias("x"), y.alias("y")).repartition(1).sortWithinPartitions("id", "x", "y")
     schema = pa.schema([("pin", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("n", pa.int64())])
 
     def kernel(batches):

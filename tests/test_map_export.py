@@ -108,6 +108,24 @@ def test_next_fit_matches_the_plain_loop(spark):
     assert export.next_fit(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("seed", "most"), [(1, 60), (2, 150), (3, 5), (4, 1_000)])
+def test_next_fit_in_many_ranges_matches_the_plain_loop(spark, seed, most):
+    """Sizes far below, about and above the limit, in ranges that start and end inside shards; ids with gaps, null and negative sizes."""
+    r = random.Random(seed)
+    sizes = [r.choice([None, -5, 0, r.randrange(most)]) if r.random() < 0.2 else r.randrange(most) for _ in range(3_000)]
+    df = spark.createDataFrame([(k * 7 % 30_011, s) for k, s in enumerate(sizes)], "id bigint, size bigint")
+    ordered = [max(x["size"] or 0, 0) for x in df.orderBy("id").collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        for state in [(0, 0, True), (3, 90, False), (5, 400, False)]:
+            got = [(x["shard"], x["offset"]) for x in export.next_fit(df, 100, *state).orderBy("id").collect()]
+            assert got == plain_next_fit(ordered, 100, *state)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 RECORDS, STATE = "id bigint, digest string, size bigint", "shard int, pos int, id bigint, digest string"
 
 
