@@ -203,7 +203,7 @@ def _apart(text: str, form: str) -> tuple[int, int]:
 def _shuffled(text: str, form: str, most: int) -> int:
     """Edits when each word of the value is laid to the nearest word of the form."""
     own, theirs = text.split(), form.split()
-    if len(own) != len(theirs) or len(own) > 6:
+    if len(own) != len(theirs):
         return most + 1
     total = 0
     for w in own:

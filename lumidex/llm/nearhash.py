@@ -10,9 +10,11 @@ shuffle is needed to drop repeated finds.
 Emitting half the radius of the whole fingerprint, 4 of 64 bits, would take 679,121 rows
 for each fingerprint; the blocks give the same pairs with 67.
 
-A block value that very many fingerprints share would make a hot bucket. Such values are
-counted first (three rows a fingerprint, pre-aggregated); the rows of hot buckets are keyed
-a second time by 1-bit balls over the rest of the fingerprint, which splits them and stays exact.
+A bucket takes the rows of all block values in its ball, 22 or 23 of them, so its size grows
+with the table as well as with frequent values. Block values are counted first (three rows a
+fingerprint, pre-aggregated) and summed over the balls; the rows of buckets over HOT rows
+are keyed a second time by 1-bit balls over the rest of the fingerprint, which splits them
+and stays exact. In very large tables that is every bucket.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from lumidex.common import persisted, spread
 RADIUS = 8
 #: (shift, width) of the blocks of a fingerprint.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
-#: A block value shared by more distinct fingerprints than this makes hot buckets.
-HOT = 2_000
+#: A bucket of more rows than this is hot: about as many comparisons as the second key costs.
+HOT = 20_000
 #: Widths of the parts of the rest of a fingerprint; 9 > 8 = (2 + 1) * 3 - 1 as for the blocks.
 PARTS = 3
 
@@ -70,11 +72,15 @@ def _keys(distinct: DataFrame) -> DataFrame:
 
 
 def _hot(distinct: DataFrame, hot: int) -> DataFrame:
-    """(key): the buckets around block values that more than `hot` distinct fingerprints share."""
+    """(key): buckets of more than half of `hot` rows, all of more than `hot` among them.
+
+    Values of a 46th of `hot` rows and fewer are not summed: the 23 of a ball make half of it at most.
+    """
     values = distinct.select(F.explode(F.array(*[_block(F.col("fp"), i).bitwiseOR(F.lit(i << 22)).cast("int") for i in range(3)])).alias("value"))
-    shared = values.groupBy("value").count().filter(F.col("count") > hot)
+    frequent = values.groupBy("value").count().filter(F.col("count") > hot // 46)
     flips = F.when(F.shiftright("value", 22) == 2, F.lit(_ball(22))).otherwise(F.lit(_ball(21)))
-    return shared.select(F.explode(F.transform(flips, lambda f: F.col("value").bitwiseXOR(f))).alias("key")).distinct()
+    balls = frequent.select(F.explode(F.transform(flips, lambda f: F.col("value").bitwiseXOR(f))).alias("key"), "count")
+    return balls.groupBy("key").agg(F.sum("count").alias("n")).filter(F.col("n") > hot // 2).select("key")
 
 
 def _rest(key: Column, fp: Column) -> Column:

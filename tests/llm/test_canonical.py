@@ -57,3 +57,12 @@ def test_scores_do_not_depend_on_the_number_of_blocks(spark):
     terms = spark.createDataFrame([*TERMS, (11, "tag", "kitchens of", []), (12, "color", "light blues", [])], TERM_DDL)
     whole, parts = ({(r["kind"], r["value"]): (r["term_id"], round(r["score"], 9)) for r in C.lookup(values, terms, n).collect()} for n in (50_000, 3))
     assert whole == parts and len(whole) == len(CASES) + 3
+
+
+def test_terms_of_many_words_are_compared_word_by_word(spark):
+    """On both sides of six words, with the words in another order and one letter wrong."""
+    words = "small wooden table with seven yellow flowers and books".split()
+    for n in (6, 7, 9):
+        terms = spark.createDataFrame([(1, "tag", " ".join(words[:n]), []), (2, "tag", "harbour", [])], TERM_DDL)
+        typed = " ".join(reversed(words[:n])).replace("wooden", "woodem")
+        assert C.lookup(spark.createDataFrame([("tag", typed)], "kind string, value string"), terms).first()["term_id"] == 1

@@ -72,3 +72,19 @@ def test_fingerprint_keeps_the_high_bit(spark):
     assert [r[0] % 2**64 for r in got] == [0xFFFFFFFF00000001, 0x8000000000000000]
     flags = spark.createDataFrame([("A" * 15 + "b",), ("a" * 16,), ("A" * 15 + "a",), ("0123456789abcdef\n",)], "h string").select(N.usable(F.col("h"))).collect()
     assert [r[0] for r in flags] == [True, False, False, False]
+
+
+def test_buckets_filled_by_a_ball_of_rare_values_are_hot(spark):
+    """No block value is frequent, but their balls are: every bucket of more than `hot` rows is found, and the pairs stay whole."""
+    r = random.Random(12)
+    centre, rows = r.getrandbits(21), []
+    for k in range(600):
+        low = centre ^ (1 << k % 21) if k % 22 else centre
+        rows.append((k, f"{(r.getrandbits(43) << 21) | low:016x}", "", 0))
+    rows += [(1_000 + k, f"{flip(r, int(rows[k][1], 16), 5):016x}", "", 0) for k in range(100)]
+    df = spark.createDataFrame(rows, DDL)
+    distinct = N.fingerprints(df).select("fp").distinct()
+    sizes = {x["key"]: x["count"] for x in N._keys(distinct).groupBy("key").count().collect()}
+    found = {x["key"] for x in N._hot(distinct, 60).collect()}
+    assert {k for k, n in sizes.items() if n > 60} <= found and all(sizes[k] > 30 for k in found) and max(sizes.values()) > 500
+    assert {tuple(x) for x in N.near_pairs(df, hot=60).collect()} == brute(rows, 8)
