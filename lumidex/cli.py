@@ -1,35 +1,52 @@
-"""Command line: python -m lumidex.cli --catalog FOLDER COMMAND. Each command prints the rows of one operator."""
+"""Command line: python -m lumidex.cli --catalog FOLDER COMMAND. Commands that ask print the rows of one operator."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from pyspark.sql import SparkSession
 
-from lumidex.operators import diff, export, mapview, positions, progress, search, stacks
-from lumidex.sources import listing, pictures, site
+from lumidex.jobs import package as packaging
+from lumidex.jobs import scan as scanning
+from lumidex.jobs import serve as serving
+from lumidex.operators import mapview, positions, progress, search, stacks
+from lumidex.sources import files, pictures, site, transport
 from lumidex.sources.catalog import Catalog
+from lumidex.sources.plugins import Helper, load_helper
+from lumidex.sources.thumbs import Thumbs
 
 
-def scan(spark: SparkSession, catalog: Catalog, config: dict) -> str:
-    """List the configured libraries, diff them against the catalog, decode what is new, write the next snapshot."""
-    libraries = [(x["name"], x["path"], x.get("ignore") or []) for x in config["libraries"]]
-    found = diff.wanted(listing.walk(spark, [(n, p) for n, p, _ in libraries]), [(n, g) for n, _, g in libraries])
-    images = catalog.images()
-    actions = diff.diff(images, found, [n for n, _, _ in libraries])
-    todo = diff.number(actions.filter(actions["action"].isin("added", "updated")).select("library", "path"), ["library", "path"])
-    decoded = pictures.decode(pictures.contents(todo.withColumnRenamed("place", "id"), {n: p for n, p, _ in libraries}))
-    rows = found.join(todo.join(decoded, todo["place"] == decoded["id"]).select("library", "path", "width", "height", "exif", "dhash", "error"), ["library", "path"])
-    return catalog.write(diff.apply_diff(images, actions, rows))
+def scan(spark: SparkSession, catalog: Catalog, config: dict, thumbs: Thumbs | None = None, helper: Helper = Helper()) -> str:
+    """The listing part of the scan command; returns the name of the snapshot written."""
+    return scanning.scan(spark, catalog, config, thumbs, helper)
 
 
-def main(argv: list[str] | None = None) -> None:
+def _scan(spark: SparkSession, catalog: Catalog, config: dict, thumbs: Thumbs, helper: Helper, args) -> None:
+    stop = (lambda at=args.abort_file: os.path.exists(at)) if args.abort_file else None
+    if not args.no_scan:
+        print(scanning.scan(spark, catalog, config, thumbs, helper, stop=stop))
+    if not (stop and stop()):
+        print(f"{scanning.backfill(catalog, config, helper)} hashes filled in")
+    if not args.no_describe and config["endpoint"] and not (stop and stop()):
+        libraries = scanning.Libraries.of(config)
+        call = transport.caller(libraries.roots, helper.load_image, helper.call_api, pictures.to_jpeg)
+        done = scanning.describe_pending(catalog, config, call, helper, args.newest_first, stop) if scanning.describe.endpoints(config) else None
+        if done is not None:
+            print(f"{done.filter('info IS NOT NULL').count()} described, {done.filter('info IS NULL').count()} in error")
+
+
+def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--catalog", required=True)
     parser.add_argument("--config", default="config.json")
     commands = parser.add_subparsers(dest="command", required=True)
-    commands.add_parser("scan")
+    p = commands.add_parser("scan", help="bring the catalog up to the libraries, then describe")
+    p.add_argument("--no-scan", action="store_true")
+    p.add_argument("--no-describe", action="store_true")
+    p.add_argument("--newest-first", action="store_true")
+    p.add_argument("--abort-file", help="stop soon after this file appears")
     p = commands.add_parser("search")
     p.add_argument("query")
     p.add_argument("--library")
@@ -37,22 +54,38 @@ def main(argv: list[str] | None = None) -> None:
     p = commands.add_parser("progress")
     p.add_argument("what", choices=["counts", "files"])
     p.add_argument("--newest-first", action="store_true")
-    p = commands.add_parser("pins")
+    p = commands.add_parser("pins", help="greedy pins of the positions; with --output as a PNG")
+    p.add_argument("--output")
+    p.add_argument("--basemap")
     p.add_argument("--width", type=int, default=mapview.PIN_WIDTH)
     p.add_argument("--height", type=int, default=mapview.PIN_HEIGHT)
     p.add_argument("--radius", type=float, default=mapview.PIN_RADIUS)
-    p = commands.add_parser("tiles")
+    p = commands.add_parser("tiles", help="cut a world picture into a tile pyramid")
     p.add_argument("source")
     p.add_argument("output")
     p.add_argument("--max-zoom", type=int, default=6)
+    p.add_argument("--width", type=int, default=21_600)
+    p.add_argument("--height", type=int, default=10_800)
+    p.add_argument("--quality", type=int, default=85)
+    p.add_argument("--force", action="store_true")
     p = commands.add_parser("package")
     p.add_argument("output")
-    args = parser.parse_args(argv)
+    p.add_argument("--tiles")
+    p = commands.add_parser("serve")
+    p.add_argument("--host", default="127.0.0.1")
+    p.add_argument("--port", type=int, default=8000)
+    p.add_argument("--tiles")
+    return parser
+
+
+def main(argv: list[str] | None = None) -> None:
+    args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("lumidex").getOrCreate()
-    catalog = Catalog(spark, args.catalog)
+    catalog, config = Catalog(spark, args.catalog), site.load_config(args.config)
+    thumbs, helper = Thumbs(spark, f"{args.catalog.rstrip('/')}-thumbs"), load_helper(config["helper"])
     show = lambda df: [print(json.dumps(r.asDict(recursive=True), default=str)) for r in df.toLocalIterator()]
     if args.command == "scan":
-        print(scan(spark, catalog, site.load_config(args.config)))
+        _scan(spark, catalog, config, thumbs, helper, args)
     elif args.command == "search":
         rows = search.search(catalog.images(), args.query, args.library)
         show(stacks.capped(stacks.stacks(rows)) if args.stacked else search.top(rows.select("id", "name", "library")))
@@ -62,13 +95,19 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "progress":
         show(progress.pending(catalog.images(), args.newest_first))
     elif args.command == "pins":
-        show(mapview.greedy_pins(positions.positions(catalog.images()), args.width, args.height, args.radius))
+        pins = mapview.greedy_pins(positions.positions(catalog.images()), args.width, args.height, args.radius)
+        if args.output:
+            files.write(args.output, mapview.world_picture(pins.toPandas(), args.width, args.height, files.read(args.basemap) if args.basemap else None))
+        else:
+            show(pins)
     elif args.command == "tiles":
-        pictures.cut_tiles(mapview.tile_boxes(spark, args.max_zoom, 21_600, 10_800), args.source).write.mode("overwrite").partitionBy("z").parquet(args.output)
+        cut = pictures.cut_tiles(mapview.tile_boxes(spark, args.max_zoom, args.width, args.height), args.source, quality=args.quality)
+        show(site.write_tiles(cut, args.output, args.force).groupBy("status").count())
+        files.write(f"{args.output}/manifest.json", json.dumps({"max_zoom": args.max_zoom}).encode())
+    elif args.command == "package":
+        print(json.dumps(packaging.package(catalog.images(), config, args.output, thumbs, helper, args.tiles, pictures.to_jpeg)))
     else:
-        records = export.export_records(catalog.images())
-        planned = export.plan(export.digests(records), spark.createDataFrame([], "shard int, pos int, id bigint, digest string"))
-        export.write_site(records, planned, args.output)
+        serving.server(serving.Routes(catalog, config, thumbs, args.tiles, helper, pictures.to_jpeg), args.host, args.port).serve_forever()
 
 
 if __name__ == "__main__":

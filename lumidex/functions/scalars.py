@@ -53,7 +53,7 @@ def human_size(size: Column) -> Column:
 
 
 def fixed2(x: Column) -> Column:
-    """Two decimals of a double by its exact value, exact ties away from zero, as browsers print it; null from 1e12 on and for NaN.
+    """Two decimals of a double by its exact value, exact ties away from zero, as browsers print it, with an exponent from 1e21 on; null for NaN and infinities.
 
     format_string alone rounds the shortest decimal form, which makes 0.285 (a little less
     in binary) 0.29. The product with 100 is taken with its rounding error: x is split in
@@ -66,7 +66,19 @@ def fixed2(x: Column) -> Column:
     short = (product - F.floor(product) == 0.5) & (error < 0)
     cents = F.floor(product + 0.5) - F.when(short, 1).otherwise(0)
     text = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
-    return F.when(size < 1e12, F.concat(F.when((x < 0) & (cents > 0), "-").otherwise(""), text))
+    sign = F.when((x < 0) & ((size >= 1e12) | (cents > 0)), "-").otherwise("")
+    long = F.when(size < 1e21, _long_fixed2(size)).otherwise(F.regexp_replace(F.regexp_replace(size.cast("string"), r"\.0E", "E"), "E", "e+"))
+    return F.when(size < float("inf"), F.concat(sign, F.when(size < 1e12, text).otherwise(long)))
+
+
+def _long_fixed2(size: Column) -> Column:
+    """fixed2 of large doubles: split at 2**40, whose parts are exact, and so are a hundred times the few bits after the point."""
+    unit = 1 << 40
+    high = F.floor(size / float(unit))
+    rest = size - high * float(unit)
+    cents = F.floor((rest - F.floor(rest)) * 100.0 + 0.5)
+    whole = high.cast("decimal(18,0)") * F.lit(unit).cast("decimal(18,0)") + (F.floor(rest) + F.floor(cents / 100)).cast("decimal(18,0)")
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
 
 
 def when_text(seconds: Column) -> Column:

@@ -41,16 +41,18 @@ def wanted(listing: DataFrame, libraries: list[tuple[str, list[str]]]) -> DataFr
     return listing.filter(is_image(F.col("name"))).filter(~dropped(libraries))
 
 
-def diff(images: DataFrame, listing: DataFrame, libraries: list[str] | None = None, complete: bool = True) -> DataFrame:
+def diff(images: DataFrame, listing: DataFrame, libraries: list[str] | None = None, complete: bool | list[str] = True) -> DataFrame:
     """(library, path, id, action): added, updated, unchanged or removed for every file and row.
 
     listing has unique (library, path); keys are compared as they are and null keys match
     nothing. With `libraries`, rows of other libraries are 'unconfigured'. An incomplete
-    walk removes nothing: rows it did not see are 'unseen'.
+    walk removes nothing: rows it did not see are 'unseen'. complete says so for all
+    libraries, or lists those that were walked whole; a missing folder is not.
     """
     old, new = images.select("library", "path", "id", "size", "mtime").alias("o"), listing.select("library", "path", "size", "mtime", F.lit(True).alias("listed")).alias("n")
     same = same_file(F.col("o.size"), F.col("o.mtime"), F.col("n.size"), F.col("n.mtime"))
-    gone = F.lit("removed" if complete else "unseen")
+    whole = F.lit(complete) if isinstance(complete, bool) else F.coalesce(F.col("o.library").isin(complete), F.lit(False))
+    gone = F.when(whole, "removed").otherwise("unseen")
     if libraries is not None:
         gone = F.when(F.coalesce(F.col("o.library").isin(libraries), F.lit(False)), gone).otherwise("unconfigured")
     action = F.when(F.col("o.id").isNull(), "added").when(F.col("n.listed").isNull(), gone).when(same, "unchanged").otherwise("updated")

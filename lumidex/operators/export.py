@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from lumidex.common import persisted
 from lumidex.functions.scalars import export_extension
 from lumidex.schema import SHARD_LIMIT
+from lumidex.sources import files
 
 #: The fields of a detail record; export adds the search text, hash, thumbnail and image path.
 DETAIL = ["id", "library", "path", "name", "size", "mtime", "width", "height", "described"]
@@ -24,7 +28,7 @@ def detail(images: DataFrame) -> DataFrame:
 def export_records(images: DataFrame, thumbs: DataFrame | None = None) -> DataFrame:
     """Detail records with text, dhash, image path and, where thumbs (id, jpeg) has one, the thumbnail as a data address."""
     rows = detail(images).join(images.select(F.col("id").alias("_id"), F.col("search_text").alias("text"), "dhash"), F.col("id") == F.col("_id")).drop("_id")
-    rows = rows.withColumn("image", F.concat(F.lit("images/"), F.col("id").cast("string"), F.lit("."), export_extension(F.col("name"))))
+    rows = rows.withColumn("image", original_file())
     if thumbs is None:
         return rows.withColumn("thumb", F.lit("").cast("string"))
     encoded = F.concat(F.lit("data:image/jpeg;base64,"), F.regexp_replace(F.base64("jpeg"), r"[\r\n]", ""))
@@ -153,47 +157,73 @@ def orphans(existing: DataFrame, planned: DataFrame) -> DataFrame:
     return existing.join(planned, "file", "left_anti")
 
 
-def manifest(images: DataFrame, planned: DataFrame, generated: int) -> DataFrame:
-    """One row (libraries, shards, count, generated): names in order, shard files by number."""
-    rows = images.agg(F.array_sort(F.collect_set("library")).alias("libraries"), F.count("*").alias("count"))
-    files = planned.select("shard").distinct().agg(F.transform(F.array_sort(F.collect_set("shard")), lambda s: F.format_string("data-%04d.json", s)).alias("shards"))
+def shard_file(shard: Column) -> Column:
+    return F.format_string("data-%04d.json", shard.cast("bigint"))
+
+
+def original_file() -> Column:
+    """Where the original of a row lies in a site."""
+    return F.concat(F.lit("images/"), F.col("id").cast("string"), F.lit("."), export_extension(F.col("name")))
+
+
+def manifest(images: DataFrame, planned: DataFrame, generated: int, libraries: list[str] | None = None) -> DataFrame:
+    """One row (libraries, shards, count, generated): the configured libraries, or those of the rows by name, and shard files by number."""
+    named = F.array_sort(F.collect_set("library")) if libraries is None else F.lit(libraries).cast("array<string>")
+    rows = images.agg(named.alias("libraries"), F.count("*").alias("count"))
+    files = planned.select("shard").distinct().agg(F.transform(F.array_sort(F.collect_set("shard")), shard_file).alias("shards"))
     return rows.join(files).select("libraries", "shards", "count", F.lit(generated).cast("bigint").alias("generated"))
 
 
-def write_site(records: DataFrame, planned: DataFrame, output: str) -> None:
-    """Write the dirty shards as JSON files, one folder per shard, next to the state of the plan."""
-    rows = planned.filter("dirty").join(records, "id")
-    rows.repartition("shard").sortWithinPartitions("shard", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").json(f"{output}/data")
+def positions_in(planned: DataFrame) -> DataFrame:
+    """(shard, pos, id, digest) of a plan, for the next one; shards left empty are not in it."""
     place = F.row_number().over(Window.partitionBy("shard").orderBy("id")) - 1
-    planned.filter(F.col("id").isNotNull()).withColumn("pos", place).write.mode("overwrite").parquet(f"{output}/state-next")
+    return planned.filter(F.col("id").isNotNull()).select(F.col("shard").cast("bigint").alias("shard"), place.alias("pos"), "id", "digest")
 
 
-def copy_originals(images: DataFrame, roots: dict[str, str], output: str, convert=None) -> DataFrame:
-    """(id, file, status) after copying each original into `output`/images, on the executors: copied, kept, missing or failed.
+def write_shards(records: DataFrame, planned: DataFrame, output: str) -> int:
+    """Write the dirty shards, and those whose file is missing, as `output`/data/data-NNNN.json; returns how many.
 
-    A copy as new as its source is kept. HEIC goes through convert (bytes to JPEG bytes);
-    without one it fails. output is a folder all executors share.
+    A file is a JSON array in one line, in the order of id. A shard's records, SHARD_LIMIT
+    characters or one larger, are laid end to end by one task.
     """
-    import os
-    from collections.abc import Iterator
+    existing = records.sparkSession.createDataFrame([(n,) for n in files.names(f"{output}/data")], "file string")
+    rows = planned.select("id", "dirty", shard_file(F.col("shard")).alias("file"))
+    due = rows.filter("dirty").unionByName(rows.filter(~F.col("dirty")).join(existing, "file", "left_anti"))
+    cells = due.join(records.select("id", F.to_json(F.struct(*records.columns)).alias("text")), "id", "left").select("file", "id", "text")
+
+    def write(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        held = own[own["text"].notna()].sort_values("id")["text"]
+        files.write(f"{output}/data/{key[0]}", ("[" + ",".join(held) + "]").encode())
+        return pd.DataFrame({"file": [key[0]], "n": [len(held)]})
 
-    import pandas as pd
+    return persisted(cells.groupBy("file").applyInPandas(write, "file string, n bigint"), "written").count()
+
+
+def write_site(records: DataFrame, planned: DataFrame, output: str) -> None:
+    """Write the shards that are due, and the state of the plan beside them."""
+    write_shards(records, planned, output)
+    positions_in(planned).write.mode("overwrite").parquet(f"{output}/state-next")
+
+
+def copy_originals(images: DataFrame, roots: dict[str, str], output: str, convert: Callable[[bytes], bytes] | None = None, load: Callable[[str], bytes | None] | None = None) -> DataFrame:
+    """(id, file, status) after copying each original into `output`/images, on the executors: copied, kept, missing or failed.
+
+    A copy as new as its source is kept. load may give the bytes, as for pictures.contents.
+    HEIC goes through convert (bytes to JPEG bytes); without one it fails. Folders may be of
+    any file system that sources.files reaches; output is one all executors share.
+    """
 
     def one(library: str, path: str, file: str) -> str:
-        source, target = f"{roots.get(library, '')}/{path}", f"{output}/{file}"
-        if library not in roots or not os.path.exists(source):
-            return "missing"
-        if os.path.exists(target) and os.path.getmtime(target) >= os.path.getmtime(source):
-            return "kept"
+        source, target = f"{roots.get(library, '').rstrip('/')}/{path}", f"{output}/{file}"
         try:
-            with open(source, "rb") as f:
-                content = f.read()
-            if path.lower().endswith(".heic"):
-                content = convert(content)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(f"{target}.part", "wb") as f:
-                f.write(content)
-            os.replace(f"{target}.part", target)
+            content = load(source) if load and library in roots else None
+            written = files.modified(source) if library in roots else None
+            if content is None and written is None:
+                return "missing"
+            if content is None and (files.modified(target) or 0.0) >= written:
+                return "kept"
+            content = files.read(source) if content is None else content
+            files.write(target, convert(content) if path.lower().endswith(".heic") else content)
         except Exception:  # noqa: BLE001 - one bad file must not end the export
             return "failed"
         return "copied"
@@ -202,5 +232,4 @@ def copy_originals(images: DataFrame, roots: dict[str, str], output: str, conver
         for f in frames:
             yield f[["id", "file"]].assign(status=[one(*r) for r in f[["library", "path", "file"]].itertuples(index=False)])
 
-    name = F.concat(F.lit("images/"), F.col("id").cast("string"), F.lit("."), export_extension(F.col("name")))
-    return images.select("id", "library", "path", name.alias("file")).mapInPandas(kernel, "id bigint, file string, status string")
+    return images.select("id", "library", "path", original_file().alias("file")).mapInPandas(kernel, "id bigint, file string, status string")

@@ -174,18 +174,41 @@ def visible_tiles(views: DataFrame) -> DataFrame:
     return span.filter("a <= b").select("view_id", "tx", F.pmod("tx", "cols").alias("x"), F.explode(F.sequence("a", "b")).alias("y"))
 
 
-def world_picture(pins: pd.DataFrame, width: int = PIN_WIDTH, height: int = PIN_HEIGHT) -> bytes:
-    """A PNG of the pins over a plain sea with a graticule; needs Pillow."""
+def zoomed(x: Column, y: Column, centre_x: Column, centre_y: Column, zoom: int, to_zoom: int) -> tuple[Column, Column]:
+    """The world pixel of the new centre after zooming about a screen point (x, y) off the centre, whose place on the map stays under it."""
+    factor = world_size(to_zoom) / world_size(zoom)
+    return (centre_x + x) * factor - x, (centre_y + y) * factor - y
+
+
+def panned(lat: Column, lon: Column, dx: Column, dy: Column, zoom: int, screen_height: float) -> tuple[Column, Column]:
+    """The view's centre after dragging the map by (dx, dy) pixels, kept inside the world."""
+    x, y = to_world(lat, lon, zoom)
+    return clamp_centre(*from_world(x - dx, y - dy, zoom), zoom, screen_height)
+
+
+def screen_to_position(sx: Column, sy: Column, lat: Column, lon: Column, zoom: int, screen: tuple[float, float]) -> tuple[Column, Column]:
+    """(lat, lon) under a screen point of the view centred at lat, lon; the longitude is brought to [-180, 180)."""
+    x, y = to_world(lat, lon, zoom)
+    there, turned = from_world(x + sx - screen[0] / 2, y + sy - screen[1] / 2, zoom)
+    return there, (turned + 540.0) % 360.0 - 180.0
+
+
+def world_picture(pins: pd.DataFrame, width: int = PIN_WIDTH, height: int = PIN_HEIGHT, basemap: bytes | None = None) -> bytes:
+    """A PNG of the pins over a world map, or where there is none over a plain sea with a graticule; needs Pillow."""
     import io
 
     from PIL import Image, ImageDraw
 
-    picture = Image.new("RGB", (width, height), (24, 48, 88))
-    draw = ImageDraw.Draw(picture)
-    for k in range(0, 361, 30):
-        draw.line([(k * width / 360, 0), (k * width / 360, height)], fill=(60, 84, 124))
-    for k in range(0, 181, 30):
-        draw.line([(0, k * height / 180), (width, k * height / 180)], fill=(60, 84, 124))
+    if basemap is not None:
+        picture = Image.open(io.BytesIO(basemap)).convert("RGB").resize((width, height), Image.LANCZOS)
+        draw = ImageDraw.Draw(picture)
+    else:
+        picture = Image.new("RGB", (width, height), (24, 48, 88))
+        draw = ImageDraw.Draw(picture)
+        for k in range(0, 361, 30):
+            draw.line([(k * width / 360, 0), (k * width / 360, height)], fill=(60, 84, 124))
+        for k in range(0, 181, 30):
+            draw.line([(0, k * height / 180), (width, k * height / 180)], fill=(60, 84, 124))
     for x, y, n in pins[["x", "y", "n"]].itertuples(index=False):
         r = 7 if n == 1 else min(20, 7 + 3 * len(str(n)))
         draw.ellipse([x - r, y - r, x + r, y + r], fill=(220, 60, 50), outline=(255, 255, 255))

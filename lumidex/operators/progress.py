@@ -48,12 +48,18 @@ def capture_seconds(exif: Column) -> Column:
     return F.coalesce(read("DateTimeOriginal"), read("DateTime"), F.col("mtime"))
 
 
-def pending(images: DataFrame, newest_first: bool = False) -> DataFrame:
-    """(bucket, id, library, path) to describe: fresh before stale, each in the order of id, or newest first."""
+def pending(images: DataFrame, newest_first: bool = False, keep_order: bool = False) -> DataFrame:
+    """(bucket, id, library, path) to describe: fresh before stale, each in the order of id, or newest first.
+
+    keep_order leaves the rows unsorted, with `later` to sort them by: bucket, later, id.
+    """
     order = [F.col("bucket"), *([F.desc("seconds")] if newest_first else []), F.col("id")]
     rows = images.withColumn("bucket", bucket()).filter(F.col("bucket").isNotNull())
     if newest_first:
         rows = rows.withColumn("v", json_variant("exif")).withColumn("seconds", capture_seconds(F.col("v")))
+    if keep_order:
+        later = F.coalesce(-F.col("seconds"), F.lit(float("inf"))) if newest_first else F.lit(0.0)
+        return rows.select("bucket", later.alias("later"), "id", "library", "path")
     return rows.orderBy(*order).select("bucket", "id", "library", "path")
 
 

@@ -209,6 +209,21 @@ def snapshot_diff(spark, d):
     return diff.diff(images(spark, d), listing, [name for name, _ in config(spark, d)])
 
 
+@query(f"""WITH {_LISTING}, seen AS (SELECT DISTINCT library FROM file_listing WHERE scan_no = {SCAN} AND received_at - seen_at < INTERVAL 1 DAY),
+st AS (SELECT l.name AS library, CASE WHEN s.library IS NULL THEN 'missing' ELSE 'found' END AS state FROM (SELECT DISTINCT name FROM libraries WHERE tz IS NOT NULL) l LEFT JOIN seen s ON s.library = l.name)
+SELECT st.library, state, count(i.id) FILTER (state = 'found' AND n.path IS NULL) AS removed, count(i.id) FILTER (state = 'missing' AND n.path IS NULL) AS retained FROM st LEFT JOIN images i ON i.library = st.library LEFT JOIN want n ON n.library = i.library AND n.path = i.path GROUP BY ALL""")
+def library_states(spark, d):
+    """What a scan does to each library in use: a library without a file in it is missing, and loses no row."""
+    every = table(spark, d, "file_listing")
+    known = table(spark, d, "libraries").filter(F.col("tz").isNotNull()).select(F.col("name").alias("library")).distinct()
+    seen = every.filter((F.col("scan_no") == SCAN) & (F.col("received_at") - F.col("seen_at") < F.expr("INTERVAL 1 DAY"))).select("library").distinct()
+    states = persisted(known.join(seen.withColumn("state", F.lit("found")), "library", "left").fillna("missing", "state"), "states")
+    whole = [r["library"] for r in states.filter("state = 'found'").collect()]
+    actions = diff.diff(images(spark, d), diff.wanted(diff.latest(every, SCAN), config(spark, d)), [r["library"] for r in states.collect()], whole)
+    counts = actions.groupBy("library").agg(F.count_if(F.col("action") == "removed").alias("removed"), F.count_if(F.col("action") == "unseen").alias("retained"))
+    return states.join(counts, "library", "left").select("library", "state", F.coalesce("removed", F.lit(0)).alias("removed"), F.coalesce("retained", F.lit(0)).alias("retained"))
+
+
 @query("SELECT id, library, path FROM images WHERE library NOT IN (SELECT name FROM libraries WHERE tz IS NOT NULL)")
 def unconfigured_rows(spark, d):
     known = table(spark, d, "libraries").filter(F.col("tz").isNotNull()).select(F.col("name").alias("library"))
@@ -420,6 +435,18 @@ def view_centres(spark, d):
     return table(spark, d, "places").filter("kind = 'circle'").select("place_id", F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
 
 
+@query("WITH w AS (SELECT place_id, (lon + 180.0) / 360.0 * 2048.0 AS x, (90.0 - lat) / 180.0 * 1024.0 AS y FROM places WHERE kind = 'circle') SELECT place_id, round(90.0 - greatest(250.0, least(1024.0 - 250.0, y + 30.0)) * 180.0 / 1024.0, 9) AS pan_lat, round(((x - 120.0) * 360.0 / 2048.0 - 180.0 + 540.0) % 360.0 - 180.0, 9) AS pan_lon, round((x + 100.0) * 2.0 - 100.0, 6) AS zoom_x, round((y - 50.0) * 2.0 + 50.0, 6) AS zoom_y, round(90.0 - (y - 50.0) * 180.0 / 1024.0, 9) AS lat, round(((x + 100.0) * 360.0 / 2048.0 - 180.0 + 540.0) % 360.0 - 180.0, 9) AS lon FROM w")
+def view_moves(spark, d):
+    """Each place as a view's centre: dragged by (120, -30), zoomed in about the point (100, -50) off it, and the position under that point."""
+    there = table(spark, d, "places").filter("kind = 'circle'")
+    lat, lon = F.col("lat"), F.col("lon")
+    pan = mapview.panned(lat, lon, F.lit(120.0), F.lit(-30.0), 2, 500.0)
+    zoom = mapview.zoomed(F.lit(100.0), F.lit(-50.0), *mapview.to_world(lat, lon, 2), 2, 3)
+    under = mapview.screen_to_position(F.lit(500.0), F.lit(200.0), lat, lon, 2, (800.0, 500.0))
+    named = zip(("pan_lat", "pan_lon", "zoom_x", "zoom_y", "lat", "lon"), (*pan, *zoom, *under), (9, 9, 6, 6, 9, 9))
+    return there.select("place_id", *[F.round(c, k).alias(n) for n, c, k in named])
+
+
 @query("SELECT z, x, y, CAST(round_even(x * 21600.0 / c, 0) AS INTEGER) AS x0, CAST(round_even(y * 10800.0 / r, 0) AS INTEGER) AS y0, CAST(round_even((x + 1) * 21600.0 / c, 0) AS INTEGER) AS x1, CAST(round_even((y + 1) * 10800.0 / r, 0) AS INTEGER) AS y1 FROM (SELECT CAST(z AS INTEGER) AS z, CAST(pow(2, z + 1) AS INTEGER) AS c, CAST(pow(2, z) AS INTEGER) AS r, CAST(unnest(range(0, CAST(pow(2, z + 1) AS BIGINT))) AS INTEGER) AS x FROM range(0, 7) t(z)) s, LATERAL (SELECT CAST(unnest(range(0, r)) AS INTEGER) AS y)")
 def tile_boxes(spark, d):
     return mapview.tile_boxes(spark, 6, 21_600, 10_800)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LISTING_DDL = "library string, path string, name string, size bigint, mtime double, ctime double"
-_SCHEMA = pa.schema([("library", pa.string()), ("path", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("mtime", pa.float64()), ("ctime", pa.float64())])
+_SCHEMA = pa.schema([("library", pa.string()), ("path", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("mtime", pa.float64()), ("ctime", pa.float64()), ("state", pa.string())])
 BATCH = 10_000
 
 Walker = Callable[[str], Iterator[tuple[str, list[str], list[str]]] | None]
@@ -25,35 +25,83 @@ def _stat(path: str) -> tuple[int, float, float] | None:
     return s.st_size, s.st_mtime, s.st_ctime
 
 
-def walk(spark: SparkSession, libraries: list[tuple[str, str]], walker: Walker | None = None, stat: Stat | None = None) -> DataFrame:
-    """(library, path, name, size, mtime, ctime) of the files under each (name, root), one task per library.
+def survey(spark: SparkSession, libraries: list[tuple[str, str]], walker: Walker | None = None, stat: Stat | None = None) -> DataFrame:
+    """The files under each (name, root), and how far each library could be read: read it with listed() and states().
 
-    Plugins may walk and stat instead of the file system; a plugin that returns None
-    leaves it to the file system. Files without stat have null size and times. Paths are
-    relative, with forward slashes.
+    Folders below a root are walked by tasks of their own. Plugins may walk and stat
+    instead of the file system; a plugin that returns None leaves it to the file system.
+    Files without stat have null size and times. Paths are relative, with forward slashes.
+    Linked folders are not followed.
     """
+    cores = spark.sparkContext.defaultParallelism
     roots = spark.createDataFrame(libraries, "library string, root string").repartition(max(1, len(libraries)), "library")
 
-    def rows(library: str, root: str):
-        found = walker(root) if walker else None
-        for folder, _, names in found if found is not None else os.walk(root):
-            for name in names:
-                full = os.path.join(folder, name)
-                known = (stat(full) if stat else None) or _stat(full) or (None, None, None)
-                yield library, os.path.relpath(full, root).replace(os.sep, "/"), name, *known
+    def split(batches):
+        """(library, root, folder, state): the root's own files (folder ''), each folder in it, or the whole by plugin (null)."""
+        for b in batches:
+            out = []
+            for library, root in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if walker is not None and walker(root) is not None:
+                    out.append((library, root, None, "found"))
+                elif not os.path.isdir(root):
+                    out.append((library, root, None, "missing"))
+                else:
+                    try:
+                        with os.scandir(root) as entries:
+                            folders = sorted(e.name for e in entries if e.is_dir(follow_symlinks=False))
+                        out += [(library, root, folder, "found") for folder in ("", *folders)]
+                    except OSError:
+                        out.append((library, root, None, "missing"))
+            yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*out)] if out else [pa.array([], pa.string())] * 4, names=["library", "root", "folder", "state"])
+
+    def found(root: str, folder: str | None, failed: Callable):
+        if folder is None:
+            yield from walker(root)
+        elif folder:
+            yield from os.walk(os.path.join(root, folder), onerror=failed)
+        else:
+            for top, _, names in os.walk(root, onerror=failed):
+                yield top, [], names
+                return
+
+    def rows(library: str, root: str, folder: str | None, state: str):
+        failures: list[OSError] = []
+        if state == "found":
+            for top, _, names in found(root, folder, failures.append):
+                for name in names:
+                    full = os.path.join(top, name)
+                    known = (stat(full) if stat else None) or _stat(full) or (None, None, None)
+                    yield library, os.path.relpath(full, root).replace(os.sep, "/"), name, *known, None
+        yield library, None, None, None, None, None, "partial" if failures else state
 
     def kernel(batches):
         for b in batches:
             held = []
-            for library, root in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for row in rows(library, root):
+            for task in zip(*(c.to_pylist() for c in b.columns)):
+                for row in rows(*task):
                     held.append(row)
                     if len(held) == BATCH:
                         yield _batch(held)
                         held = []
             yield _batch(held)
 
-    return roots.mapInArrow(kernel, LISTING_DDL)
+    tasks = roots.mapInArrow(split, "library string, root string, folder string, state string")
+    return tasks.repartition(cores, "library", "folder").mapInArrow(kernel, f"{LISTING_DDL}, state string")
+
+
+def listed(surveyed: DataFrame) -> DataFrame:
+    """(library, path, name, size, mtime, ctime) of the files of a survey."""
+    return surveyed.filter(F.col("state").isNull()).drop("state")
+
+
+def states(surveyed: DataFrame) -> DataFrame:
+    """(library, state) of a survey: found, partial (a folder in it could not be read) or missing (no such folder)."""
+    return surveyed.filter(F.col("state").isNotNull()).groupBy("library").agg(F.max("state").alias("state"))
+
+
+def walk(spark: SparkSession, libraries: list[tuple[str, str]], walker: Walker | None = None, stat: Stat | None = None) -> DataFrame:
+    """The files of a survey; libraries that are missing have none."""
+    return listed(survey(spark, libraries, walker, stat))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

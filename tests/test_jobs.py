@@ -1,0 +1,291 @@
+from __future__ import annotations
+
+import json
+import os
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from lumidex.jobs import package as P
+from lumidex.jobs import scan as S
+from lumidex.operators import describe as D
+from lumidex.operators import diff, progress
+from lumidex.schema import migrate
+from lumidex.sources import files, listing, pictures, plugins, site, transport
+from lumidex.sources.catalog import Catalog
+from lumidex.sources.thumbs import Thumbs
+
+
+def decode(rows):
+    """A stand-in for a picture decoder: the thumbnail is the content, 'bad' can't be read."""
+
+    def kernel(frames):
+        for f in frames:
+            ok = [c is not None and bytes(c) != b"bad" for c in f["content"]]
+            yield pd.DataFrame({"id": f["id"], "width": 4, "height": 3, "thumb": [c if o else None for c, o in zip(f["content"], ok)], "exif": "", "dhash": ["0123456789abcdef" if o else None for o in ok], "error": [None if o else "unreadable" for o in ok]})
+
+    return rows.mapInPandas(kernel, pictures.DECODED_DDL)
+
+
+def put(folder, name, content, when=None):
+    path = folder / name
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(content)
+    if when:
+        os.utime(path, (when, when))
+    return path
+
+
+@pytest.fixture
+def setting(spark, tmp_path):
+    a = tmp_path / "a"
+    for k in range(5):
+        put(a, f"p{k % 2}/f{k}.jpg", f"thumb {k}".encode() * (k + 1))
+    put(a, "bad.jpg", b"bad")
+    put(a, "note.txt", b"no picture")
+    config = {"libraries": [{"name": "A", "path": str(a)}, {"name": "B", "path": str(tmp_path / "unmounted")}]}
+    catalog = Catalog(spark, f"file://{tmp_path}/catalog")
+    rows = [(1, "B", "keep.jpg", "keep.jpg", "OLD"), (2, "A", "gone.jpg", "gone.jpg", "OLD"), (3, "C", "c.jpg", "c.jpg", "OLD")]
+    catalog.write(migrate(spark.createDataFrame(rows, "id bigint, library string, path string, name string, info string")))
+    return a, config, catalog, Thumbs(spark, f"file://{tmp_path}/thumbs", limit=60)
+
+
+def shown(thumbs, images):
+    return {r["id"]: r["jpeg"] and bytes(r["jpeg"]) for r in thumbs.read(images.select("id", "thumb_shard", "thumb_offset", "thumb_length")).collect()}
+
+
+def test_scan_stores_thumbnails_and_keeps_rows_of_a_missing_folder(spark, setting):
+    a, config, catalog, thumbs = setting
+    S.scan(spark, catalog, config, thumbs, decode=decode)
+    rows = {(r["library"], r["path"]): r for r in catalog.images().collect()}
+    assert set(rows) == {("B", "keep.jpg"), *(("A", f"p{k % 2}/f{k}.jpg") for k in range(5))} and rows["B", "keep.jpg"]["info"] == "OLD"
+    contents = {rows["A", f"p{k % 2}/f{k}.jpg"]["id"]: f"thumb {k}".encode() * (k + 1) for k in range(5)}
+    assert shown(thumbs, catalog.images()) == contents
+    assert all(r["bytes"] <= 60 for r in thumbs.shards().collect()) and thumbs.shards().count() == 3
+    before = {r["shard"]: r["file"] for r in thumbs.shards().collect()}
+    old, first = catalog.images(), rows["A", "p0/f0.jpg"]["id"]
+    (a / "p0/f0.jpg").unlink()
+    put(a, "p1/f1.jpg", b"new", 5_000_000_000)
+    S.scan(spark, catalog, config, thumbs, decode=decode)
+    changed = rows["A", "p1/f1.jpg"]["id"]
+    del contents[first]
+    contents[changed] = b"new"
+    assert shown(thumbs, catalog.images()) == contents
+    now = {r["shard"]: (r["file"], r["bytes"]) for r in thumbs.shards().collect()}
+    lost = {r["thumb_shard"] for r in old.filter(F.col("id").isin(first, changed)).collect()}
+    assert all((now[s][0] != f) == (s in lost or s == max(before)) for s, f in before.items())
+    assert sum(b for _, b in now.values()) == sum(map(len, contents.values()))
+    assert thumbs.sweep() and shown(thumbs, catalog.images()) == contents and thumbs.sweep() == []
+
+
+def test_an_emptied_shard_is_an_empty_file(spark, tmp_path):
+    thumbs = Thumbs(spark, str(tmp_path / "t"), limit=10)
+    placed = thumbs.append(spark.createDataFrame([(1, b"x" * 8), (2, b"y" * 8), (3, None)], "id bigint, thumb binary"))
+    moved = thumbs.compact(placed.filter("id = 1"), spark.createDataFrame([(1,), (1,)], "shard bigint"))
+    assert moved.count() == 0 and {r["shard"]: r["bytes"] for r in thumbs.shards().collect()} == {0: 8, 1: 0}
+    assert thumbs.append(spark.createDataFrame([], "id bigint, thumb binary")).count() == 0
+    again = thumbs.append(spark.createDataFrame([(9, b"z" * 30)], "id bigint, thumb binary")).first()
+    assert (again["thumb_shard"], again["thumb_offset"]) == (1, 0)
+    lost = spark.createDataFrame([(5, 7, 0, 3)], "id bigint, thumb_shard int, thumb_offset bigint, thumb_length bigint")
+    assert shown(thumbs, lost) == {5: None}
+
+
+def test_survey_states(spark, tmp_path):
+    put(tmp_path, "x/a.jpg", b"1")
+    put(tmp_path, "x/d/e/b.jpg", b"1")
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "x" / "link").symlink_to(tmp_path / "x" / "d")
+    walker = lambda root: iter([(root, [], ["p.jpg"])]) if root == "/plugin" else None
+    surveyed = listing.survey(spark, [("X", str(tmp_path / "x")), ("E", str(tmp_path / "empty")), ("M", str(tmp_path / "none")), ("P", "/plugin")], walker)
+    assert {r["library"]: r["state"] for r in listing.states(surveyed).collect()} == {"X": "found", "E": "found", "M": "missing", "P": "found"}
+    assert sorted((r["library"], r["path"]) for r in listing.listed(surveyed).collect()) == [("P", "p.jpg"), ("X", "a.jpg"), ("X", "d/e/b.jpg")]
+    left = spark.createDataFrame([(1, "X", "old", 1, 1.0), (2, "M", "old", 1, 1.0), (3, "Z", "old", 1, 1.0)], "id bigint, library string, path string, size bigint, mtime double")
+    actions = diff.diff(left, listing.listed(surveyed), ["X", "E", "M", "P"], ["X", "E", "P"])
+    assert {r["id"]: r["action"] for r in actions.filter("id is not null").collect()} == {1: "removed", 2: "unseen", 3: "unconfigured"}
+
+
+def test_backfill(spark, setting):
+    a, config, catalog, thumbs = setting
+    catalog.write(migrate(spark.createDataFrame([(1, "A", "p0/f0.jpg", "f0.jpg", ""), (2, "A", "bad.jpg", "bad.jpg", ""), (3, "B", "b.jpg", "b.jpg", ""), (4, "A", "p1/f1.jpg", "f1.jpg", "own")], "id bigint, library string, path string, name string, dhash string")))
+    assert S.backfill(catalog, config, decode=decode) == 1 and S.backfill(catalog, config, decode=decode) == 0
+    assert {r["id"]: r["dhash"] for r in catalog.images().collect()} == {1: "0123456789abcdef", 2: "", 3: "", 4: "own"}
+
+
+def reply(text="d"):
+    return json.dumps({"description": text, "subjects": [], "text": "", "tags": [], "colors": [], **dict.fromkeys(D.SCORES, 0.5)})
+
+
+def test_hooks_run_around_the_calls_and_a_free_endpoint_takes_over(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def note(what):
+        with open(log, "a") as f:
+            f.write(what + "\n")
+
+    def call(end, prompt, i, library, path):
+        time.sleep(0.5 if end.model == "slow" else 0.0)
+        note(f"{end.model} {i}")
+        return reply(path)
+
+    images = migrate(spark.createDataFrame([(i, "L", f"p/{i}", f"{i}", 0, 0) for i in range(1, 31)], "id bigint, library string, path string, name string, described int, prompt_ver int"))
+    queue = progress.pending(images, newest_first=True, keep_order=True)
+    results = D.run(queue, call, [D.Endpoint(model="slow"), D.Endpoint(model="fast")], lambda: note("before"), lambda: note("after"), chunk_rows=3)
+    lines = open(log).read().split("\n")[:-1]
+    assert lines[0] == "before" and lines[-1] == "after" and results.count() == 30
+    by = [x.split() for x in lines[1:-1]]
+    assert len({i for _, i in by}) == len(by) == 30 and sum(m == "fast" for m, _ in by) > 15
+    assert [int(i) for m, i in by if m == "fast"] == sorted(int(i) for m, i in by if m == "fast")
+    os.remove(log)
+    assert D.run(queue.limit(0), call, [D.Endpoint(model="m")], lambda: note("before"), lambda: note("after")) is None and not os.path.exists(log)
+    assert D.describe(queue.limit(0), call, [D.Endpoint(model="m")], lambda: note("before"), lambda: note("after")).count() == 0 and not os.path.exists(log)
+    D.describe(queue.limit(2), call, [D.Endpoint(model="m")], lambda: note("before"), lambda: note("after"))
+    lines = open(log).read().split("\n")[:-1]
+    assert lines[0] == "before" and lines[-1] == "after" and len(lines) == 4
+    assert D.run(queue, call, [D.Endpoint(model="m")], stop=lambda: True).count() == 0
+
+
+class Server(BaseHTTPRequestHandler):
+    """Answers in all three dialects; the first request for each picture of the streaming kind gives nonsense."""
+
+    seen: list = []
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.seen.append((self.path, dict(self.headers), body))
+        if self.path == "/api/chat":
+            out = json.dumps({"message": {"content": reply("ollama")}})
+        elif self.path == "/v1/messages":
+            out = json.dumps({"content": [{"text": " " + reply("claude")}]})
+        elif self.path == "/chat/completions":
+            text = reply("streamed") if sum(p == self.path for p, *_ in self.seen) > 1 else "nonsense"
+            out = "".join(f'data: {json.dumps({"choices": [{"delta": {"content": text[k : k + 7]}}]})}\n\n' for k in range(0, len(text), 7)) + "data: [DONE]\n\n"
+        else:
+            self.send_error(404)
+            return
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(out.encode())
+
+    def log_message(self, *_):
+        pass
+
+
+def test_models_are_asked_over_http(spark, setting):
+    a, config, catalog, thumbs = setting
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        for kind, want in (("ollama", "ollama"), ("claude", "claude"), ("openai", "streamed")):
+            catalog.write(migrate(spark.createDataFrame([(1, "A", "p0/f0.jpg", "f0.jpg")], "id bigint, library string, path string, name string")))
+            ends = {**config, "endpoint": {"kind": kind, "base_url": base, "model": "m", "api_key": "k"}}
+            call = transport.caller({"A": str(a)}, rewrite=lambda prompt, path: ("own prompt", path))
+            S.describe_pending(catalog, ends, call)
+            row = catalog.images().first()
+            assert json.loads(row["info"])["description"] == want and row["described"] == 1 and row["search_text"].startswith("f0.jpg")
+        assert len(Server.seen) == 4 and all("own prompt" in json.dumps(b) for *_, b in Server.seen)
+        assert next(h for p, h, _ in Server.seen if p == "/chat/completions")["Authorization"] == "Bearer k"
+        catalog.write(migrate(spark.createDataFrame([(1, "A", "p0/f0.jpg", "f0.jpg")], "id bigint, library string, path string, name string")))
+        wrong = S.describe_pending(catalog, {**config, "endpoint": {"kind": "ollama", "base_url": base + "/nowhere", "model": "m"}}, transport.caller({"A": str(a)})).first()
+        assert "404" in wrong["error"] and catalog.images().first()["described"] == 0
+    finally:
+        server.shutdown()
+
+
+def test_reply_schema_has_bounds():
+    kinds = D.reply_schema()["properties"]
+    assert kinds["description"]["minLength"] == 1 and kinds["sharpness"] == {"type": "number", "minimum": 0, "maximum": 1} and len(kinds) == 9
+
+
+def test_helper_module(spark, tmp_path):
+    path = put(tmp_path, "helper.py", b"def walk_library(root):\n    return iter([(root, [], ['h.jpg'])])\n\ndef load_image(path):\n    return prefix() + path.encode()\n\ndef prefix():\n    return b'from helper '\n")
+    helper = plugins.load_helper(str(path))
+    assert helper.before_launch is None and helper.walk_library and plugins.load_helper("") == plugins.Helper()
+    assert [r["path"] for r in listing.walk(spark, [("L", "/none")], helper.walk_library).collect()] == ["h.jpg"]
+    rows = spark.createDataFrame([(1, "L", "x.jpg")], "id bigint, library string, path string")
+    assert bytes(pictures.contents(rows, {"L": "/none"}, helper.load_image).first()["content"]) == b"from helper /none/x.jpg"
+    with pytest.raises(FileNotFoundError):
+        plugins.load_helper(str(tmp_path / "no.py"))
+
+
+def test_package_twice_rewrites_only_what_changed(spark, setting, tmp_path, monkeypatch):
+    from lumidex.operators import export
+
+    a, config, catalog, thumbs = setting
+    S.scan(spark, catalog, config, thumbs, decode=decode)
+    tiles = tmp_path / "tiles"
+    for z, x, y in [(0, 0, 0), (0, 1, 0)]:
+        put(tiles, f"{z}/{x}/{y}.jpg", b"tile")
+    site.write_max_zoom(str(tiles), 0)
+    monkeypatch.setattr(export.plan, "__defaults__", (400,))
+    out = str(tmp_path / "site")
+    done = P.package(catalog.images(), config, out, thumbs, tiles=str(tiles), generated=7)
+    n = len(files.names(f"{out}/data"))
+    assert done["count"] == 6 and done["shards"] == n > 1 and done["max_zoom"] == 0 and done["originals"] == {"copied": 5, "missing": 1}
+    note = site.read_manifest(out)
+    assert note["shards"] == files.names(f"{out}/data") and note["libraries"] == ["A", "B"] and note["count"] == 6 and note["generated"] == 7
+    back = {r["id"]: r for r in site.shards(spark, out).collect()}
+    own = {r["id"]: r for r in catalog.images().collect()}
+    assert set(back) == set(own) and all(r["name"] == own[i]["name"] for i, r in back.items())
+    assert sum((r["thumb"] or "").startswith("data:image/jpeg;base64,") for r in back.values()) == 5
+    assert (tmp_path / "site/tiles/0/1/0.jpg").read_bytes() == b"tile" and site.tile(f"{out}/tiles", 0, 1, 0) == b"tile"
+    times = {x: files.modified(f"{out}/data/{x}") for x in note["shards"]}
+    done = P.package(catalog.images(), config, out, thumbs, generated=8)
+    assert done["shards"] == 0 and done["orphans"] == 0 and done["originals"] == {"kept": 5, "missing": 1}
+    assert {x: files.modified(f"{out}/data/{x}") for x in note["shards"]} == times
+    gone = max(i for i, r in own.items() if r["library"] == "A")
+    done = P.package(catalog.images().filter(F.col("id") != gone), config, out, thumbs, generated=9)
+    assert done["shards"] == 1 and done["orphans"] == 1 and f"{gone}.jpg" not in files.names(f"{out}/images")
+    assert {r["id"] for r in site.shards(spark, out).collect()} == set(own) - {gone}
+    (tmp_path / "site/data/data-0000.json").unlink()
+    assert P.package(catalog.images().filter(F.col("id") != gone), config, out, thumbs)["shards"] == 1
+    assert site.locations(spark, out).count() == done["locations"] == 0
+
+
+def test_locations_and_templates(spark, tmp_path):
+    gps = json.dumps({"GPS": {"GPSLatitude": 5.5, "GPSLatitudeRef": "N", "GPSLongitude": 6, "GPSLongitudeRef": "W"}})
+    images = migrate(spark.createDataFrame([(2, gps), (1, gps), (3, "")], "id bigint, exif string"))
+    assert P.write_locations(images, f"file://{tmp_path}") == 2
+    assert [tuple(r) for r in site.locations(spark, str(tmp_path)).collect()] == [(1, 5.5, -6.0), (2, 5.5, -6.0)]
+    assert site.fill_template("<a href='{{ prefix }}x'>{{other}}</a>", {"prefix": "tiles/"}) == "<a href='tiles/x'>{{other}}</a>"
+    assert site.tile(str(tmp_path), 0, 0, 0) is None and site.tile(str(tmp_path), 0, 0, 0, lambda z, x, y: b"made") == b"made" and site.tile(str(tmp_path), 0, 5, 0, lambda z, x, y: b"made") is None
+
+
+def test_routes(spark, setting, tmp_path):
+    import urllib.error
+    import urllib.request
+
+    from lumidex.jobs import serve
+
+    a, config, catalog, thumbs = setting
+    S.scan(spark, catalog, config, thumbs, decode=decode)
+    rows = {r["path"]: r["id"] for r in catalog.images().collect()}
+    put(tmp_path, "tiles/0/1/0.jpg", b"tile")
+    web = serve.server(serve.Routes(catalog, config, thumbs, str(tmp_path / "tiles")), port=0)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    get = lambda path: urllib.request.urlopen(f"http://127.0.0.1:{web.server_port}{path}", timeout=60).read()
+    try:
+        assert {r["id"] for r in json.loads(get("/api/index"))} == set(rows.values()) and json.loads(get("/api/locations")) == []
+        first = rows["p0/f0.jpg"]
+        assert json.loads(get(f"/api/image/{first}"))["path"] == "p0/f0.jpg" and get(f"/image/{first}") == get(f"/thumb/{first}") == b"thumb 0" and get("/tile/0/1/0.jpg") == b"tile"
+        for path in ("/api/image/999", "/image/x", "/nothing", "/tile/0/9/9.jpg", f"/thumb/{rows['keep.jpg']}", f"/image/{rows['keep.jpg']}"):
+            with pytest.raises(urllib.error.HTTPError):
+                get(path)
+    finally:
+        web.shutdown()
+
+
+def test_scan_command_has_its_flags(spark, setting, tmp_path, capsys):
+    from lumidex import cli
+
+    a, config, catalog, thumbs = setting
+    (tmp_path / "config.json").write_text(json.dumps(config))
+    run = lambda *flags: (cli.main(["--catalog", f"file://{tmp_path}/catalog", "--config", str(tmp_path / "config.json"), "scan", *flags]), capsys.readouterr().out)[1]
+    assert run("--no-scan", "--no-describe", "--newest-first") == "0 hashes filled in\n" and catalog.images().count() == 3
+    assert "snapshot-" in run() and catalog.images().count() == 1  # no decoder here: no row for pictures that can't be read, the unmounted library's row stays
+    (tmp_path / "stop").touch()
+    assert "filled" not in run("--abort-file", str(tmp_path / "stop"))

@@ -196,3 +196,17 @@ def test_two_decimals_are_those_of_the_exact_value(spark):
         want = str(Decimal(x["v"]).quantize(Decimal("0.01"), ROUND_HALF_UP))
         assert x["t"] == (want.lstrip("-") if set(want) <= set("-0.") else want), x
     assert spark.range(1).select(scalars.fixed2(F.lit(float("nan")))).first()[0] is None
+
+
+def test_two_decimals_of_large_numbers(spark):
+    """On both sides of 1e12, as exact decimals give them; browsers go over to exponents at 1e21."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    r = random.Random(2)
+    values = [0.285, 1.005, 999_999_999_999.995, 1e12, 1e12 + 0.125, 1e12 + 0.375, 2.0**52 - 0.5, 2.0**53 + 2, 123_456_789_012_345_680_000.0, 9.99e20, -1e12 - 0.875, *(10 ** r.uniform(11, 20.9) for _ in range(300))]
+    want = [f"{Decimal(v).quantize(Decimal('0.01'), ROUND_HALF_UP) if abs(v) < 1e12 else Decimal(v).quantize(Decimal(1)) if abs(v) >= 2**53 else Decimal(v).quantize(Decimal('0.01'), ROUND_HALF_UP)}" for v in values]
+    want = [w if "." in w else w + ".00" for w in want]
+    rows = spark.createDataFrame(list(zip(values, want)), "v double, w string").select("w", scalars.fixed2(F.col("v")).alias("g")).collect()
+    assert [(x["w"], x["g"]) for x in rows if x["w"] != x["g"]] == []
+    odd = spark.createDataFrame([(1e21, "1e+21"), (-1.5e22, "-1.5e+22"), (float("nan"), None), (float("inf"), None), (None, None)], "v double, w string").select("w", scalars.fixed2(F.col("v")).alias("g")).collect()
+    assert all(x["w"] == x["g"] for x in odd)
