@@ -101,7 +101,12 @@ def search_text_plain(spark, d):
     return images(spark, d).select("id", search.plain_text().alias("text"))
 
 
-@query()
+_ITEMS = lambda f: f"CASE WHEN json_type(j, '$.{f}') = 'ARRAY' THEN list_transform(CAST(json_extract(j, '$.{f}') AS JSON[]), lambda v: json_extract_string(v, '$')) ELSE [] END"
+_PART = lambda f: f"coalesce(json_extract_string(j, '$.{f}'), '')"
+
+
+@query(f"""WITH i AS (SELECT id, name, path, CASE WHEN json_valid(info) THEN info END AS j FROM images WHERE described = 1)
+SELECT id, lower(array_to_string(list_concat([name, path, {_PART('description')}, {_PART('text')}], list_filter(list_concat({_ITEMS('subjects')}, {_ITEMS('tags')}, {_ITEMS('colors')}), lambda v: v IS NOT NULL)), ' ')) AS text FROM i""")
 def search_text_described(spark, d):
     info = F.from_json("info", describe.INFO_DDL)
     return images(spark, d).filter("described = 1").select("id", search.described_text(info).alias("text"))
