@@ -8,6 +8,7 @@ import os
 
 from pyspark.sql import SparkSession
 
+from lumidex.common import scratch
 from lumidex.jobs import package as packaging
 from lumidex.jobs import scan as scanning
 from lumidex.jobs import serve as serving
@@ -79,8 +80,12 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> None:
-    args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("lumidex").getOrCreate()
+    with scratch(spark):
+        _main(spark, _parser().parse_args(argv))
+
+
+def _main(spark: SparkSession, args) -> None:
     catalog, config = Catalog(spark, args.catalog), site.load_config(args.config)
     thumbs, helper = Thumbs(spark, f"{args.catalog.rstrip('/')}-thumbs"), load_helper(config["helper"])
     show = lambda df: [print(json.dumps(r.asDict(recursive=True), default=str)) for r in df.toLocalIterator()]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,18 +38,40 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/lumidex-{spark.sparkContext.applicationId}"
 
 
+_SCOPES: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is persisted inside is deleted at the end: for runs that write their result elsewhere."""
+    _SCOPES.append(f"scratch-{uuid.uuid4().hex}")
+    path = "/".join([own_dir(spark), *_SCOPES])
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def persisted(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and survives executors."""
+    """Write df to the shared folder and read it back: lineage ends there and survives executors.
+
+    The table stays until the end of scratch() or until drop_persisted, for the result may be read at any time.
+    """
     spark = df.sparkSession
-    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = "/".join([own_dir(spark), *_SCOPES, f"{name}-{uuid.uuid4().hex}"])
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_persisted(spark: SparkSession) -> None:
     """Delete what this application persisted; call it when its DataFrames are no longer read."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _delete(spark, own_dir(spark))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -63,9 +63,20 @@ def matches(path: Column, patterns: list[str]) -> Column:
     return F.coalesce(functools.reduce(operator.or_, tests, F.lit(False)), F.lit(False))
 
 
-def ignored(path: Column, patterns: list[str]) -> Column:
-    """matches, or lies in a folder that is pruned: one that matches itself or with a made-up child `_`."""
+def any_of(path: Column, patterns: list[str]) -> Column:
+    """matches, by one pattern for all of them."""
+    bodies = [to_regex(p).removeprefix(r"(?s)\A").removesuffix(r"\z") for p in clean(patterns)]
+    return F.coalesce(path.rlike(rf"(?s)\A(?:{'|'.join(bodies)})\z"), F.lit(False)) if bodies else F.lit(False)
+
+
+def tested(path: Column) -> Column:
+    """What the globs are held against: the path, each folder it lies in, and each with a made-up child `_`, which prunes a folder whose content matches."""
     parts = F.split(path, "/")
     folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    inside = F.when(F.size(parts) > 1, F.exists(folders, lambda f: matches(f, patterns) | matches(F.concat(f, F.lit("/_")), patterns))).otherwise(False)
-    return matches(path, patterns) | F.coalesce(inside, F.lit(False))
+    inside = F.when(F.size(parts) > 1, F.flatten(F.transform(folders, lambda f: F.array(f, F.concat(f, F.lit("/_"))))))
+    return F.concat(F.array(path), F.coalesce(inside, F.array().cast("array<string>")))
+
+
+def ignored(path: Column, patterns: list[str]) -> Column:
+    """matches, or lies in a folder that is pruned: one that matches itself or with a made-up child `_`."""
+    return F.coalesce(F.exists(tested(path), lambda t: matches(t, patterns)), F.lit(False))

@@ -28,12 +28,21 @@ def latest(listing: DataFrame, scan_no: int) -> DataFrame:
 def dropped(libraries: list[tuple[str, list[str]]]) -> Column:
     """Whether the ignore globs of its library drop a file; null for libraries that aren't configured.
 
-    Each distinct glob is tested once, whichever libraries share it, without a join.
+    The folders of a path are worked out once, and one pattern of all globs tells the files
+    that none drops, which are most. For the rest each distinct glob is tested once,
+    whichever libraries share it, without a join.
     """
     every = sorted({g for _, patterns in libraries for g in globs.clean(patterns)})
-    hits = F.array_compact(F.array(*[F.when(globs.ignored(F.col("path"), [g]), F.lit(g)) for g in every])) if every else F.array().cast("array<string>")
     own = F.from_json(F.lit(json.dumps({name: globs.clean(patterns) for name, patterns in libraries})), "map<string, array<string>>")[F.col("library")]
-    return F.arrays_overlap(hits, own)
+    if not every:
+        return F.when(own.isNotNull(), False)
+
+    def test(tested: Column) -> Column:
+        hit = lambda g: F.when(F.exists(tested, lambda t: globs.matches(t, [g])), F.lit(g))
+        hits = F.array_compact(F.array(*map(hit, every)))
+        return F.when(F.exists(tested, lambda t: globs.any_of(t, every)), F.arrays_overlap(hits, own)).otherwise(F.when(own.isNotNull(), False))
+
+    return F.element_at(F.transform(F.array(globs.tested(F.col("path"))), test), 1)
 
 
 def wanted(listing: DataFrame, libraries: list[tuple[str, list[str]]]) -> DataFrame:
@@ -92,11 +101,11 @@ def number(rows: DataFrame, order: list[str]) -> DataFrame:
 
     placed = persisted(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "numbered")
     counts = sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect())
-    start, pairs = 0, []
+    starts, start = [0] * (counts[-1][0] + 1 if counts else 1), 0
     for part, n in counts:
-        pairs += [F.lit(part), F.lit(start)]
+        starts[part] = start
         start += n
-    offset = F.create_map(*pairs)[F.col("part")] if pairs else F.lit(0)
+    offset = F.get(F.lit(starts).cast("array<bigint>"), F.col("part"))
     return placed.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*order)) + offset).drop("part")
 
 

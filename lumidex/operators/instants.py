@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumidex.common import json_variant, own_dir
+from lumidex.common import json_variant, own_dir, persisted
 
 # The instants accepted are those of 2001..2025 (UTC).
 FIRST_S = 978_307_200
@@ -124,8 +124,8 @@ def dictionary(values: DataFrame, path: str | None = None) -> DataFrame:
     """(raw, zone, epoch_s) for the distinct pairs of `values`, parsed once.
 
     With `path`, the dictionary persists there: pairs it already holds are not parsed
-    again, new ones are appended as a new part. Without, a fresh folder under
-    spark.checkpoint.dir is used. Null raw values are left out; a null zone is a key of its own.
+    again, new ones are appended as a new part; one run at a time may append. Without, a
+    fresh folder under spark.checkpoint.dir is used. Null raw values are left out; a null zone is a key of its own.
     """
     spark = values.sparkSession
     at = path or f"{own_dir(spark)}/instants-{uuid.uuid4().hex}"
@@ -171,6 +171,7 @@ def image_instants(images: DataFrame, libraries: DataFrame, path: str | None = N
         .select("id", "zone", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("raw")) for f in ("DateTimeOriginal", "DateTime")])).alias("x"))
         .select("id", "x.field_name", "x.raw", "zone").filter(F.col("raw").isNotNull())
     )
+    cells = persisted(cells, "dates")  # read for the dictionary and again for the join
     dates = normalise(cells, path).select("id", "field_name", "epoch_s")
     mtimes = images.select("id", F.lit("mtime").alias("field_name"), mtime_seconds(F.col("mtime")).alias("epoch_s")).filter(F.col("epoch_s").isNotNull())
     return dates.unionByName(mtimes)

@@ -12,45 +12,40 @@ from lumidex.functions.scalars import hamming
 
 THRESHOLD = 8
 CAP = 500
-#: Distinct hashes in one window partition, and the most partitions.
+#: Distinct hashes in one window partition, about.
 BUCKET_ROWS = 200_000
-MOST_BUCKETS = 4_096
 
 
 def heads(hashes: DataFrame, threshold: int = THRESHOLD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(dhash, head): for each distinct non-empty hash the first hash of its stack.
 
     A hash stays in the stack of the hash before it if they differ in at most `threshold`
-    bits. Range buckets by sampled bounds keep every window small; stacks that run over a
+    bits. Range buckets keep every window small; stacks that run over a
     bucket's edge are stitched from one row per bucket.
     """
     hashes = persisted(hashes.select("dhash"), "hashes")
-    n = hashes.count()
-    buckets = min(MOST_BUCKETS, max(1, math.ceil(n / bucket_rows)))
-    bounds: list[str] = []
+    buckets = max(1, math.ceil(hashes.count() / bucket_rows))
     if buckets > 1:
-        drawn = sorted(r[0] for r in hashes.sample(min(1.0, 50.0 * buckets / n), seed=3).select("dhash").limit(200 * buckets).collect())
-        bounds = sorted({drawn[len(drawn) * k // buckets] for k in range(1, buckets)}) if drawn else []
-    place = F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("dhash"))) if bounds else F.lit(0)
+        hashes = persisted(hashes.repartitionByRange(buckets, "dhash").withColumn("bucket", F.spark_partition_id()), "buckets")
+    else:
+        hashes = hashes.withColumn("bucket", F.lit(0))
     own = Window.partitionBy("bucket").orderBy("dhash")
-    rows = hashes.select("dhash", place.alias("bucket")).withColumn("before", F.lag("dhash").over(own))
+    rows = hashes.withColumn("before", F.lag("dhash").over(own))
     opens = F.when(F.col("before").isNull() | (hamming(F.col("dhash"), F.col("before")) > threshold), F.col("dhash"))
     rows = rows.withColumn("head", F.last(opens, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    if not bounds:
+    if buckets == 1:
         return rows.select("dhash", "head")
     rows = persisted(rows.select("bucket", "dhash", "head"), "stacks")
     edges = rows.groupBy("bucket").agg(F.min("dhash").alias("first"), F.max("dhash").alias("last"), F.max("head").alias("open")).orderBy("bucket")
-    renamed, last = {}, None
+    renamed, last = [], None
     for r in edges.withColumn("joins", hamming(F.col("first"), F.lag("last").over(Window.orderBy("bucket"))) <= threshold).collect():
         if last is not None and r["joins"]:
-            renamed[r["first"]] = last
+            renamed.append((r["bucket"], r["first"], last))
             last = last if r["open"] == r["first"] else r["open"]
         else:
             last = r["open"]
-    if not renamed:
-        return rows.select("dhash", "head")
-    names = F.create_map(*[F.lit(x) for pair in renamed.items() for x in pair])
-    return rows.select("dhash", F.coalesce(names[F.col("head")], F.col("head")).alias("head"))
+    names = F.broadcast(hashes.sparkSession.createDataFrame(renamed, "bucket int, head string, name string"))  # one row a bucket at most
+    return rows.join(names, ["bucket", "head"], "left").select("dhash", F.coalesce("name", "head").alias("head"))
 
 
 def stacks(images: DataFrame, threshold: int = THRESHOLD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumidex.common import persisted, table
+from lumidex.common import own_dir, persisted, table
 from lumidex.operators import instants, nested, positions
 from lumidex.plans import catalog
 
@@ -70,7 +70,8 @@ def p2_classes(spark, d):
 
 
 def p3_found(spark, d):
-    return instants.image_instants(table(spark, d, "images"), table(spark, d, "libraries"))
+    """The dictionary is kept for the whole application: what an earlier run has parsed is not parsed again."""
+    return instants.image_instants(table(spark, d, "images"), table(spark, d, "libraries"), f"{own_dir(spark)}/instants")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_catalog, p1_rows, p1_subjects, p1_all_subjects, p1_marks, p1_all_marks, p2_found, p2_near, p2_neighbours, p2_classes, p3_found)}
