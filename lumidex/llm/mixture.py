@@ -144,7 +144,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
 
     Documents of null or untargeted sources, and those without tokens, are not used. A
     target whose source has no documents reaches 0; the other shares are taken of the
-    rest. Repeated target rows: the greatest share and cap count. The driver holds one
+    rest (share_of_rest). binds marks the sources whose documents and cap kept the mix from
+    being larger. Repeated target rows: the greatest share and cap count. The driver holds one
     row per target source.
     """
     goals = targets.filter(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
@@ -178,5 +179,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
         "source", "target_share", "max_repeats", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.coalesce("mix_docs", F.lit(0)).alias("mix_docs"), F.coalesce("mix_tokens", F.lit(0)).alias("mix_tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
         F.coalesce(F.round(F.col("mix_tokens") / F.col("all_tokens"), 6), F.lit(0.0)).alias("reached_share"),
+        F.when(F.col("source").isin(list(plan)), F.round(F.col("target_share") / sum(t["target_share"] for t in totals if t["source"] in plan), 6)).otherwise(F.lit(0.0)).alias("share_of_rest"),
+        F.col("source").isin([t["source"] for t in totals if t["source"] in plan and plan[t["source"]]["base"] + plan[t["source"]]["pi"] >= t["max_repeats"] - 1e-9]).alias("binds"),
     )
     return chosen, report

@@ -29,6 +29,14 @@ def p5_unmatched(spark, d):
     return mentions.join(found, (F.col("kind") == F.col("_kind")) & (F.col("value") == F.col("_value"))).select("kind", "value", "n")
 
 
+def p5_places(spark, d):
+    """The places of p5_found, and whether each has an entry of its kind or -1."""
+    terms = table(spark, d, "canonical_terms").select(F.col("term_id").alias("_term"), F.concat("kind", F.lit("s")).alias("_field")).distinct()
+    found = canonical.mapped(table(spark, d, "images"), table(spark, d, "canonical_terms"))
+    checked = found.join(terms, (F.col("term_id") == F.col("_term")) & (F.col("field_name") == F.col("_field")), "left")
+    return checked.select("id", "field_name", "pos", ((F.col("term_id") == -1) | F.col("_term").isNotNull()).alias("known"))
+
+
 def p6_found(spark, d):
     return nearhash.near_pairs(table(spark, d, "images"))
 
@@ -53,6 +61,40 @@ def p8_shares(spark, d):
     return mixture.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
+def p8_faults(spark, d):
+    """For each target what the mix may not have: documents above their cap, used twice, or of another source or none."""
+    documents, targets = table(spark, d, "documents"), table(spark, d, "source_targets")
+    chosen = mixture.mix(documents, targets)[0]
+    known = documents.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"))
+    odd = chosen.join(known, (F.col("doc_id") == F.col("_id")) & (F.col("source") == F.col("_source")), "left_anti").groupBy("source").agg(F.count("*").alias("unknown_docs"))
+    twice = chosen.groupBy("source", "doc_id").count().filter("count > 1").groupBy("source").agg(F.count("*").alias("repeated_docs"))
+    above = chosen.join(targets.select("source", "max_repeats"), "source").groupBy("source").agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("docs_above_cap"))
+    counted = targets.select("source").join(odd, "source", "left").join(twice, "source", "left").join(above, "source", "left")
+    return counted.fillna(0, ["unknown_docs", "repeated_docs", "docs_above_cap"])
+
+
+def p8_sources(spark, d):
+    """The report's counts that need no tokenizer: documents with text of each target."""
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[1].select("source", "max_repeats", "docs", (F.col("docs") == 0).alias("no_docs"))
+
+
+def p9_labels(spark, d):
+    """One row for each document with what its label denotes and how many segments it has."""
+    documents = table(spark, d, "documents")
+    own = language.segment_languages(documents).groupBy("doc_id").agg(F.count("*").alias("n_segments"))
+    labels = language.document_languages(documents).select("doc_id", "label")
+    return labels.join(own, "doc_id", "left").select("doc_id", "label", F.coalesce("n_segments", F.lit(0)).alias("n_segments"))
+
+
+def p4_sizes(spark, d):
+    """The groups that p4_consensus chooses for, with their described rows, and whether its choice is a value of the group."""
+    images = table(spark, d, "images").filter(nearhash.usable(F.col("dhash")))
+    own = images.select(F.lower("dhash").alias("picture"), F.try_variant_get(json_variant("info"), "$.description", "string").alias("_value"))
+    chosen = p4_consensus(spark, d)
+    found = own.join(chosen, (F.col("picture") == F.col("group_id")) & (F.col("_value") == F.col("description"))).select("group_id").distinct().withColumn("own", F.lit(True))
+    return chosen.join(found, "group_id", "left").select("group_id", "n_rows", F.coalesce("own", F.lit(False)).alias("own"))
+
+
 def p9_found(spark, d):
     return language.mislabelled(table(spark, d, "documents"))
 
@@ -67,7 +109,7 @@ def p9_documents(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p4_found, p4_consensus, p5_found, p5_unmatched, p6_found, p6_links, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_segments, p9_documents)
+    for f in (p4_found, p4_consensus, p5_found, p5_unmatched, p5_places, p6_found, p6_links, p4_sizes, p7_found, p7_leaks, p8_mix, p8_shares, p8_faults, p8_sources, p9_found, p9_segments, p9_documents, p9_labels)
 }
 
 _USABLE = "regexp_full_match(lower(dhash), '[0-9a-f]{16}') AND lower(dhash) <> repeat(lower(dhash)[1], 16)"
@@ -79,7 +121,21 @@ _TIME = " ".join(f"WHEN mtime >= {978307200 * u}::DOUBLE AND mtime < {1767225600
 _WIDE, _PLAIN = "".join(chr(0xFF01 + k) for k in range(94)), "".join(chr(0x21 + k) for k in range(94)).replace("'", "''")
 _WORDS = f"regexp_extract_all(lower(strip_accents(regexp_replace(translate(text, '{_WIDE}', '{_PLAIN}'), '[\\p{{Cf}}\\p{{M}}]', '', 'g'))), '[\\p{{L}}\\p{{N}}]+')"
 
+# What a label denotes, by its first run of letters.
+_CODES = ", ".join(f"('{n}', '{code}')" for code, names in language.NAMES.items() for n in (code, *names))
+_INFO = "CASE WHEN info <> '' AND json_valid(info) THEN CASE WHEN json_type(info) = 'VARCHAR' THEN json_extract_string(info, '$') ELSE info END END"
+
 SQL = {
+    "p4_sizes": f"""SELECT lower(dhash) AS group_id, count(*) AS n_rows, true AS own FROM images WHERE {_USABLE} AND json_extract_string({_INFO}, '$.description') IS NOT NULL GROUP BY 1""",
+    "p5_places": f"""WITH i AS (SELECT id, {_INFO} AS j FROM images),
+        f AS (SELECT id, field_name, kind, CASE json_type(j, '$.' || field_name) WHEN 'VARCHAR' THEN [json_extract(j, '$.' || field_name)] WHEN 'ARRAY' THEN CAST(json_extract(j, '$.' || field_name) AS JSON[]) END AS items FROM i, (VALUES ('colors', 'color'), ('tags', 'tag')) v(field_name, kind)),
+        x AS (SELECT id, field_name, kind, CAST(unnest(range(len(items))) AS INTEGER) AS pos, unnest(items) AS item FROM f),
+        t AS (SELECT *, json_extract_string(item, '$') AS value FROM x WHERE json_type(item) = 'VARCHAR')
+        SELECT id, field_name, pos, true AS known FROM t WHERE regexp_matches(value, '[^\\s\\x{{0b}}\\x{{85}}\\p{{Z}}]') AND NOT EXISTS (SELECT 1 FROM canonical_terms c WHERE c.kind = t.kind AND c.term = t.value)""",
+    "p8_faults": "SELECT source, 0::BIGINT AS unknown_docs, 0::BIGINT AS repeated_docs, 0::BIGINT AS docs_above_cap FROM source_targets",
+    "p8_sources": "SELECT t.source, max_repeats, count(d.doc_id) AS docs, count(d.doc_id) = 0 AS no_docs FROM source_targets t LEFT JOIN documents d ON d.source = t.source AND length(d.text) > 0 GROUP BY t.source, max_repeats",
+    "p9_labels": f"""WITH c(name, code) AS (VALUES {_CODES}), s AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\r?\n')) AS line FROM documents) WHERE regexp_matches(line, '[^\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]') GROUP BY doc_id)
+        SELECT d.doc_id, code AS label, coalesce(n, 0) AS n_segments FROM documents d LEFT JOIN c ON c.name = lower(regexp_extract(trim(lang), '^\\p{{L}}+')) LEFT JOIN s ON s.doc_id = d.doc_id""",
     "p7_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
         dw AS (SELECT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
         iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i))

@@ -88,3 +88,15 @@ def test_plan():
     assert set(plan) == {"a", "b"} and plan["b"]["base"] == 4 and plan["b"]["pi"] == 0.0 and plan["a"] == {"base": 0, "pi": pytest.approx(0.8), "tokens": pytest.approx(800)}
     assert M.shares([]) == {}
     assert F.lit(1) is not None
+
+
+def test_report_says_what_bound_the_mix(spark):
+    rows = [(k, "a" if k < 100 else "b", "word " * 20) for k in range(300)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.2, 2), ("none", 0.2, 3)], "source string, target_share double, max_repeats int")
+    got = {r["source"]: r for r in M.mix(documents, targets)[1].collect()}
+    assert {s: r["binds"] for s, r in got.items()} == {"a": True, "b": False, "none": False}
+    assert (got["a"]["share_of_rest"], got["b"]["share_of_rest"], got["none"]["share_of_rest"]) == (0.75, 0.25, 0.0)
+    assert abs(got["a"]["reached_share"] - 0.75) < 0.01
+    small = {r["source"]: r["binds"] for r in M.mix(documents, targets, total_tokens=500)[1].collect()}
+    assert not any(small.values())
