@@ -67,6 +67,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--max-zoom", type=int, default=6)
     p.add_argument("--width", type=int, default=21_600)
     p.add_argument("--height", type=int, default=10_800)
+    p.add_argument("--url", help="where to fetch the source from if it is not there")
     p.add_argument("--quality", type=int, default=85)
     p.add_argument("--force", action="store_true")
     p = commands.add_parser("package")
@@ -106,6 +107,8 @@ def _main(spark: SparkSession, args) -> None:
         else:
             show(pins)
     elif args.command == "tiles":
+        if args.url and not files.exists(args.source):
+            transport.download(args.url, args.source)
         cut = pictures.cut_tiles(mapview.tile_boxes(spark, args.max_zoom, args.width, args.height), args.source, quality=args.quality)
         show(site.write_tiles(cut, args.output, args.force).groupBy("status").count())
         files.write(f"{args.output}/manifest.json", json.dumps({"max_zoom": args.max_zoom}).encode())

@@ -111,6 +111,12 @@ def clamp(value: Column, low, high) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
+def facts(pairs: dict[str, Column]) -> Column:
+    """(label, text) of the pairs that have a text: null and '' are left out."""
+    every = F.array(*[F.struct(F.lit(label).alias("label"), text.cast("string").alias("text")) for label, text in pairs.items()])
+    return F.filter(every, lambda p: p["text"] != "")
+
+
 def unit_float(value: Column) -> Column:
     """A score clamped to [0, 1]; NaN counts as 1."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))

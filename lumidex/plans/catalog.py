@@ -47,6 +47,13 @@ flagged AS (SELECT *, {_DROPS('path')} OR list_contains(list_transform(up, lambd
 want AS (SELECT * FROM flagged WHERE NOT dropped AND regexp_matches(lower(name), '\\.(jpg|jpeg|png|gif|heic)$'))"""
 
 
+# The same over every path of all scans; libraries that are not configured have no answer.
+_LISTING_ALL = """globs AS (SELECT name AS lib, list_transform(list_filter(ignore_globs, lambda g: trim(g) <> ''), lambda g: replace(trim(g), '\\', '/')) AS pats FROM libraries),
+dirs AS (SELECT DISTINCT library, path, pats, string_split(path, '/') AS parts FROM file_listing LEFT JOIN globs ON lib = library),
+folders AS (SELECT *, list_transform(range(1, len(parts)), lambda i: array_to_string(parts[1:i], '/')) AS up FROM dirs)"""
+_FLAG = f"CASE WHEN pats IS NOT NULL THEN {_DROPS('path')} OR list_contains(list_transform(up, lambda d: {_DROPS('d')} OR {_DROPS("(d || '/_')")}), true) END"
+
+
 def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
@@ -201,7 +208,7 @@ def ignore_globs(spark, d):
     return rows.select("library", "path", dropped.alias("dropped"))
 
 
-@query()
+@query(f"""WITH {_LISTING_ALL} SELECT DISTINCT library, path, {_FLAG} AS dropped FROM folders""")
 def ignore_globs_all(spark, d):
     """Every listed path of all scans."""
     rows = table(spark, d, "file_listing").select("library", "path").distinct()
@@ -314,18 +321,18 @@ def human_size(spark, d):
     return images(spark, d).select("id", scalars.human_size(F.col("size")).alias("text"))
 
 
-@query("SELECT id, CASE WHEN ctime = 0 THEN '' ELSE strftime(make_timestamp(CAST(floor(ctime) AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') END AS text FROM images WHERE ctime BETWEEN 0 AND 4e9")
-def when_text(spark, d):
-    return images(spark, d).filter(F.col("ctime").between(0, 4e9)).select("id", scalars.when_text(F.col("ctime")).alias("text"))
-
-
-@query()
+@query("""SELECT id, CASE WHEN isfinite(ctime) AND ctime <> 0 AND ctime BETWEEN -62135596800 AND 253402300799 THEN strftime(make_timestamp(CAST(floor(ctime) AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') ELSE '' END AS text FROM images""")
 def when_text_all(spark, d):
-    """Every row; '' for times that are null, no number or outside the years 1 to 9999."""
+    """Every row; '' for times that are 0, null, no number or outside the years 1 to 9999."""
     known = F.when(F.col("ctime").between(-62_135_596_800, 253_402_300_799), scalars.when_text(F.col("ctime")))
     return images(spark, d).select("id", F.coalesce(known, F.lit("")).alias("text"))
 
 
+@query("SELECT id, CASE WHEN ctime = 0 THEN '' ELSE strftime(make_timestamp(CAST(floor(ctime) AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') END AS text FROM images WHERE ctime BETWEEN 0 AND 4e9")
+def when_text(spark, d):
+    return images(spark, d).filter(F.col("ctime").between(0, 4e9)).select("id", scalars.when_text(F.col("ctime")).alias("text"))
+
+
 @query("SELECT id, '/detail?id=' || id AS page, '/api/image/' || id AS data, '/thumb/' || id AS thumb, '/image/' || id AS image, 'images/' || id || '.' || CASE WHEN ends_with(lower(name), '.heic') OR regexp_extract(lower(name), '[^./][^/]*\\.([^./]+)$', 1) = '' THEN 'jpg' ELSE regexp_extract(lower(name), '[^./][^/]*\\.([^./]+)$', 1) END AS file FROM images")
 def record_links(spark, d):
     return images(spark, d).select("id", scalars.links(F.col("id"), F.col("name")).alias("l")).select("id", "l.*")
@@ -351,6 +358,28 @@ def exif_fields(spark, d):
     return fields.select("id", "key", F.when(F.schema_of_variant("item").startswith("ARRAY"), many).otherwise(F.try_variant_get("item", "$", "string")).alias("value"))
 
 
+# Whole doubles without the point, as browsers and VARIANT print them.
+_SHOWN_ITEM = lambda v: f"CASE WHEN json_type({v}) = 'DOUBLE' THEN regexp_replace(json_extract_string({v}, '$'), '\\.0$', '') ELSE json_extract_string({v}, '$') END"
+_GPS_ITEMS = f"CASE WHEN json_type(g, '$.' || key) = 'ARRAY' THEN array_to_string(list_transform(CAST(json_extract(g, '$.' || key) AS JSON[]), lambda v: {_SHOWN_ITEM('v')}), ', ') ELSE {_SHOWN_ITEM("json_extract(g, '$.' || key)")} END"
+
+
+@query(f"WITH {_EXIF}, k AS (SELECT id, json_extract(e, '$.GPS') AS g, unnest(json_keys(e, '$.GPS')) AS key FROM ex WHERE json_type(e, '$.GPS') = 'OBJECT') SELECT id, key, {_GPS_ITEMS} AS value FROM k")
+def gps_fields(spark, d):
+    """The second list of exif_fields: the fields of the GPS object."""
+    rows = images(spark, d).select("id", F.try_variant_get(json_variant("exif"), "$.GPS", "variant").alias("v"))
+    rows.filter(F.schema_of_variant("v").startswith("OBJECT")).createOrReplaceTempView("lumidex_gps_fields")
+    fields = spark.sql("SELECT id, x.key, x.value AS item FROM lumidex_gps_fields, LATERAL variant_explode(v) x")
+    many = F.array_join(F.transform(F.try_variant_get("item", "$", "array<variant>"), lambda x: F.try_variant_get(x, "$", "string")), ", ")
+    return fields.select("id", "key", F.when(F.schema_of_variant("item").startswith("ARRAY"), many).otherwise(F.try_variant_get("item", "$", "string")).alias("value"))
+
+
+@query("SELECT id, label, text FROM (SELECT id, unnest(['library', 'pixels', 'hash', 'thumbnail']) AS label, unnest([library, CASE WHEN width > 0 AND height > 0 THEN width || ' x ' || height END, dhash, CAST(thumb_length AS VARCHAR)]) AS text FROM images) WHERE text <> ''")
+def fact_lists(spark, d):
+    pixels = F.when((F.col("width") > 0) & (F.col("height") > 0), F.concat(F.col("width").cast("string"), F.lit(" x "), F.col("height").cast("string")))
+    pairs = {"library": F.col("library"), "pixels": pixels, "hash": F.col("dhash"), "thumbnail": F.col("thumb_length")}
+    return images(spark, d).select("id", F.explode(scalars.facts(pairs)).alias("f")).select("id", "f.label", "f.text")
+
+
 _FIXED = "CASE WHEN v * 8 = floor(v * 8) THEN printf('%.2f', floor(v * 100 + 0.5) / 100) ELSE printf('%.2f', v) END"
 _SCORES = "(VALUES ('aesthetic_score'), ('sharpness'), ('exposure_score'), ('watermark_score')) s(label)"
 

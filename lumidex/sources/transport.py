@@ -38,6 +38,14 @@ def fetch(url: str, timeout: float = 10) -> dict:
         return json.load(answer)
 
 
+def download(url: str, target: str, timeout: float = TIMEOUT_S) -> int:
+    """Fetch a file, as the world picture of the tiles, into a place that sources.files reaches; returns its bytes."""
+    with urllib.request.urlopen(url, timeout=timeout) as answer:
+        content = answer.read()
+    files.write(target, content)
+    return len(content)
+
+
 def ask(endpoint: Endpoint, prompt: str, content: bytes, mime: str, timeout: float = TIMEOUT_S) -> str:
     """A model's reply to a prompt with a picture, in the endpoint's dialect; the streaming kind is read line by line."""
     url, headers, payload = request(endpoint, prompt, content, mime, reply_schema())

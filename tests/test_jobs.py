@@ -153,6 +153,11 @@ class Server(BaseHTTPRequestHandler):
 
     seen: list = []
 
+    def do_GET(self):
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(b"a world")
+
     def do_POST(self):
         body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
         self.seen.append((self.path, dict(self.headers), body))
@@ -191,6 +196,7 @@ def test_models_are_asked_over_http(spark, setting):
         assert next(h for p, h, _ in Server.seen if p == "/chat/completions")["Authorization"] == "Bearer k"
         catalog.write(migrate(spark.createDataFrame([(1, "A", "p0/f0.jpg", "f0.jpg")], "id bigint, library string, path string, name string")))
         wrong = S.describe_pending(catalog, {**config, "endpoint": {"kind": "ollama", "base_url": base + "/nowhere", "model": "m"}}, transport.caller({"A": str(a)})).first()
+        assert transport.download(base + "/world.jpg", f"{a}/own/world.jpg") == 7 and (a / "own/world.jpg").read_bytes() == b"a world"
         assert "404" in wrong["error"] and catalog.images().first()["described"] == 0
     finally:
         server.shutdown()
