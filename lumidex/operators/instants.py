@@ -25,8 +25,13 @@ FIRST_S = 978_307_200
 END_S = 1_767_225_600
 UNITS = (1, 1_000, 1_000_000, 1_000_000_000)
 
-# English month names, by their first three letters.
-MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
+# English month names. Their first letters, three at least, may stand for them.
+MONTHS = "january february march april may june july august september october november december".split()
+
+
+def month_number(word: str) -> int | None:
+    """The month a word of three letters or more begins; None for other words."""
+    return next((k for k, name in enumerate(MONTHS, 1) if name.startswith(word.lower())), None)
 
 _TIME = r"(?P<h>\d{1,2}):(?P<mi>\d{1,2})(?::(?P<s>\d{1,2})(?:[.,]\d+)?)?(?:\s?(?P<ap>[AaPp])\.?[Mm]\b\.?)?"
 _ZONE = r"\s?(?P<zone>(?:UTC|GMT)?[+-]\d{1,2}(?::?\d{2})?|[A-Za-z][A-Za-z0-9_+\-/]*)?\s?(?:\[(?P<place>[A-Za-z0-9_+\-/]+)\])?"
@@ -97,7 +102,7 @@ def parse(raw: str | None, zone: str | None) -> int | None:
         if not 1 <= hour <= 12:
             return None
         hour = hour % 12 + 12 * (g["ap"] in "Pp")
-    month = MONTHS.get(g["mon"][:3].lower()) if "mon" in g else int(g["m"])
+    month = month_number(g["mon"]) if "mon" in g else int(g["m"])
     where = _zone(g["zone"] or g["place"] or zone or "?")
     if where is None or month is None:
         return None

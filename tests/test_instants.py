@@ -80,3 +80,8 @@ def test_a_value_that_fills_a_third_of_the_rows(spark):
     rows = [(k, "a", '{"DateTime": "2021:07:01 12:00:00"}' if k % 3 == 0 else f'{{"DateTime": "2021:07:01 {k % 24:02d}:00:{k % 60:02d}"}}', None, "", "", "") for k in range(900)]
     libraries = spark.createDataFrame([("a", "UTC")], "name string, tz string")
     assert instants.image_instants(spark.createDataFrame(rows, IMAGES), libraries).count() == 900
+
+
+@pytest.mark.parametrize(("text", "ok"), [("Mar 3, 2015 10:00:00", True), ("March 3, 2015 10:00:00", True), ("Sept 3, 2015 10:00:00", True), ("SEP. 3, 2015 10:00:00", True), ("Marzipan 3, 2015 10:00:00", False), ("Decimal 3, 2015 10:00:00", False), ("Ma 3, 2015 10:00:00", False)])
+def test_months_are_words_that_begin_a_name(text, ok):
+    assert (instants.parse(text, "UTC") is not None) == ok
