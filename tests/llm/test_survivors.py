@@ -96,3 +96,39 @@ def test_halved_stretches_have_as_few_edits_as_the_whole_table(monkeypatch):
             pairs = S._stretch(a, b)
         assert edits(a, b, pairs) == whole
         assert [x for x, _ in pairs if x is not None] == list(range(len(a))) and [y for _, y in pairs if y is not None] == list(range(len(b)))
+
+
+def planted_groups(edits, n=200, size=5, seed=8):
+    """Groups of a text of 30 words and copies of it with words changed, dropped, inserted or swapped at random."""
+    r = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(400)]
+    rows, originals = [], {}
+    for g in range(n):
+        base = [r.choice(vocabulary) for _ in range(30)]
+        originals[f"g{g}"] = " ".join(base)
+        values = [list(base) for _ in range(size)]
+        for copy in values[1:]:
+            for _ in range(edits):
+                at = r.randrange(len(copy) - 1)
+                kind = r.randrange(4)
+                if kind == 0:
+                    copy[at] = r.choice(vocabulary)
+                elif kind == 1:
+                    del copy[at]
+                elif kind == 2:
+                    copy.insert(at, r.choice(vocabulary))
+                else:
+                    copy[at], copy[at + 1] = copy[at + 1], copy[at]
+        rows += [(f"g{g}", " ".join(v)) for v in values]
+    r.shuffle(rows)
+    return rows, originals
+
+
+@pytest.mark.parametrize(("edits", "least"), [(1, 0.97), (3, 0.97), (6, 0.95)])
+def test_recall_of_the_unedited_text_of_a_group(spark, edits, least):
+    """Each value once, so no value has more votes than another: only the vote on tokens tells the original."""
+    rows, originals = planted_groups(edits)
+    got = S.consensus(spark.createDataFrame(rows, "k string, v string"), "k", "v").collect()
+    assert len(got) == len(originals)
+    found = sum(r["value"] == originals[r["group_id"]] for r in got) / len(got)
+    assert found >= least
