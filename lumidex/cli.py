@@ -35,7 +35,10 @@ def _scan(spark: SparkSession, catalog: Catalog, config: dict, thumbs: Thumbs, h
         call = transport.caller(libraries.roots, helper.load_image, helper.call_api, pictures.to_jpeg)
         done = scanning.describe_pending(catalog, config, call, helper, args.newest_first, stop) if scanning.describe.endpoints(config) else None
         if done is not None:
-            print(f"{done.filter('info IS NOT NULL').count()} described, {done.filter('info IS NULL').count()} in error")
+            errors = done.filter("info IS NULL").select("id", "error")
+            print(f"{done.filter('info IS NOT NULL').count()} described, {errors.count()} in error")
+            if args.log_errors:
+                errors.write.mode("append").json(args.log_errors)
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -47,6 +50,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--no-scan", action="store_true")
     p.add_argument("--no-describe", action="store_true")
     p.add_argument("--newest-first", action="store_true")
+    p.add_argument("--log-errors", help="append the errors of the describer to this folder, as JSON lines")
     p.add_argument("--abort-file", help="stop soon after this file appears")
     p = commands.add_parser("search")
     p.add_argument("query")

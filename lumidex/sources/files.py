@@ -27,13 +27,19 @@ def read(uri: str, offset: int = 0, length: int | None = None) -> bytes | None:
 
 
 def write(uri: str, content: bytes) -> None:
-    """Write a file whole: to a part beside it, then moved into place."""
+    """Write a file whole: to a part beside it, then moved into place. A task that is run again writes the same file again."""
     fs, path = place(uri)
     fs.create_dir(path.rpartition("/")[0] or "/", recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
     with fs.open_output_stream(part) as f:
         f.write(content)
-    fs.move(part, path)
+    try:
+        fs.move(part, path)
+    except OSError:  # HDFS moves onto no existing file
+        if fs.get_file_info(path).type == arrow_fs.FileType.NotFound:
+            raise
+        fs.delete_file(path)
+        fs.move(part, path)
 
 
 def modified(uri: str) -> float | None:
