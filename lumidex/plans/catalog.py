@@ -503,6 +503,22 @@ def parse_reply(spark, d):
     return describe.parse_replies(images(spark, d).filter(F.col("info") != ""), text="info").select("id", F.to_json("info").alias("info"), "error")
 
 
+_NUMBERS = "('DOUBLE', 'BIGINT', 'UBIGINT', 'INTEGER')"
+_N = lambda f: f"CASE json_type(j, '$.{f}') WHEN 'ARRAY' THEN len(list_filter(CAST(json_extract(j, '$.{f}') AS JSON[]), lambda v: v IS NULL OR json_type(v) <> 'VARCHAR' OR trim(json_extract_string(v, '$')) <> '')) WHEN 'VARCHAR' THEN CASE WHEN trim(json_extract_string(j, '$.{f}')) <> '' THEN 1 ELSE 0 END ELSE 0 END AS n_{f}"
+
+
+@query(f"""WITH s AS (SELECT id, regexp_extract(info, '(\\{{.*\\}})', 1, 's') AS span FROM images WHERE info <> ''), i AS (SELECT id, CASE WHEN json_valid(span) THEN span END AS j FROM s),
+o AS (SELECT *, coalesce(json_type(j, '$.description') = 'VARCHAR' AND trim(json_extract_string(j, '$.description')) <> '' AND {' AND '.join(f"json_type(j, '$.{f}') IN {_NUMBERS}" for f in describe.SCORES)}, false) AS ok FROM i),
+f AS (SELECT id, ok, trim(json_extract_string(j, '$.description')) AS description, CASE WHEN json_type(j, '$.text') = 'VARCHAR' THEN trim(json_extract_string(j, '$.text')) ELSE '' END AS text, {', '.join(map(_N, describe.LISTS))}, CASE WHEN ok THEN round(greatest(0.0, least(1.0, CAST(json_extract(j, '$.sharpness') AS DOUBLE))), 9) END AS sharpness FROM o)
+SELECT id, ok, CASE WHEN ok THEN description END AS description, CASE WHEN ok THEN text END AS text, {', '.join(f"CASE WHEN ok THEN n_{f} END AS n_{f}" for f in describe.LISTS)}, sharpness FROM f""")
+def parse_reply_fields(spark, d):
+    """What parse_reply makes of each description taken as a reply, field by field."""
+    parsed = describe.parse_replies(images(spark, d).filter(F.col("info") != ""), text="info")
+    known = F.col("info").isNotNull()
+    lists = [F.when(known, F.size(f"info.{f}").cast("bigint")).alias(f"n_{f}") for f in describe.LISTS]
+    return parsed.select("id", F.col("error").isNull().alias("ok"), "info.description", "info.text", *lists, F.round("info.sharpness", 9).alias("sharpness"))
+
+
 def _answer(end, prompt, i, library, path):
     """A stand-in for a model server: it describes a picture by its path."""
     import json

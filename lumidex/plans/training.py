@@ -139,5 +139,13 @@ _SUBJECTS = f"""WITH {_INFO} SELECT id, k::VARCHAR AS row_key, '' AS parent_key,
 _MARKS = f"""WITH {_INFO}, p AS (SELECT id, k, q, json_extract(x, '$.parts[' || q || ']') AS y FROM (SELECT id, k, x, unnest(range(0, CAST(json_array_length(x, '$.parts') AS BIGINT))) AS q FROM s WHERE json_type(x, '$.parts') = 'ARRAY')),
 m AS (SELECT id, k, q, r, json_extract(y, '$.marks[' || r || ']') AS z FROM (SELECT id, k, q, y, unnest(range(0, CAST(json_array_length(y, '$.marks') AS BIGINT))) AS r FROM p WHERE json_type(y, '$.marks') = 'ARRAY'))
 SELECT id, k || '.' || q || '.' || r AS row_key, k || '.' || q AS parent_key, json_extract_string(z, '$.kind') AS kind, json_extract_string(z, '$.reading') AS reading FROM m"""
+# The same with one bare object as a list of one.
+_ONE = lambda j, f: f"CASE json_type({j}, '$.{f}') WHEN 'ARRAY' THEN CAST(json_extract({j}, '$.{f}') AS JSON[]) WHEN 'OBJECT' THEN [json_extract({j}, '$.{f}')] END"
+_ALL = f"""{_INFO.partition(',\ns AS')[0]},
+sl AS (SELECT id, {_ONE('j', 'subjects')} AS l FROM i), s AS (SELECT id, unnest(range(len(l))) AS k, unnest(l) AS x FROM sl)"""
+_ALL_SUBJECTS = f"WITH {_ALL}" + _SUBJECTS[len(f"WITH {_INFO}") :]
+_ALL_MARKS = f"""WITH {_ALL}, pl AS (SELECT id, k, {_ONE('x', 'parts')} AS l FROM s), p AS (SELECT id, k, unnest(range(len(l))) AS q, unnest(l) AS y FROM pl),
+ml AS (SELECT id, k, q, {_ONE('y', 'marks')} AS l FROM p), m AS (SELECT id, k, q, unnest(range(len(l))) AS r, unnest(l) AS z FROM ml)
+SELECT id, k || '.' || q || '.' || r AS row_key, k || '.' || q AS parent_key, json_extract_string(z, '$.kind') AS kind, json_extract_string(z, '$.reading') AS reading FROM m"""
 
-SQL = {"p1_found": _NODES, "p1_catalog": _CATALOG, "p1_subjects": _SUBJECTS, "p1_marks": _MARKS, "p2_found": _PLACED, "p2_near": _NEAR, "p2_neighbours": _NEIGHBOURS, "p2_classes": f"{_CLASSES} SELECT pts.id, class_id FROM pts JOIN c ON pts.lat = c.lat AND pts.lon = c.lon", "p3_found": _INSTANTS}
+SQL = {"p1_found": _NODES, "p1_all_subjects": _ALL_SUBJECTS, "p1_all_marks": _ALL_MARKS, "p1_catalog": _CATALOG, "p1_subjects": _SUBJECTS, "p1_marks": _MARKS, "p2_found": _PLACED, "p2_near": _NEAR, "p2_neighbours": _NEIGHBOURS, "p2_classes": f"{_CLASSES} SELECT pts.id, class_id FROM pts JOIN c ON pts.lat = c.lat AND pts.lon = c.lon", "p3_found": _INSTANTS}
