@@ -53,9 +53,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _delete(spark, path)
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path for a table of the shared folder, inside the scratch that is open."""
+    return "/".join([own_dir(spark), *_SCOPES, f"{name}-{uuid.uuid4().hex}"])
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def persisted(df: DataFrame, name: str) -> DataFrame:
@@ -63,8 +68,7 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
 
     The table stays until the end of scratch() or until drop_persisted, for the result may be read at any time.
     """
-    spark = df.sparkSession
-    path = "/".join([own_dir(spark), *_SCOPES, f"{name}-{uuid.uuid4().hex}"])
+    spark, path = df.sparkSession, place(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo
@@ -18,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumidex.common import json_variant, own_dir, persisted
+from lumidex.common import json_variant, persisted, place
 
 # The instants accepted are those of 2001..2025 (UTC).
 FIRST_S = 978_307_200
@@ -133,7 +132,7 @@ def dictionary(values: DataFrame, path: str | None = None) -> DataFrame:
     fresh folder under spark.checkpoint.dir is used. Null raw values are left out; a null zone is a key of its own.
     """
     spark = values.sparkSession
-    at = path or f"{own_dir(spark)}/instants-{uuid.uuid4().hex}"
+    at = path or place(spark, "instants")
     ddl = "raw string, zone string, epoch_s bigint"
     fresh = values.select("raw", "zone").filter(F.col("raw").isNotNull()).distinct()
     known = _read(spark, at, ddl)
@@ -152,8 +151,8 @@ def dictionary(values: DataFrame, path: str | None = None) -> DataFrame:
 
 def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame | None:
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.schema(ddl).parquet(path) if place.getFileSystem(hadoop).exists(place) else None
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.schema(ddl).parquet(path) if at.getFileSystem(hadoop).exists(at) else None
 
 
 def normalise(rows: DataFrame, path: str | None = None) -> DataFrame:
