@@ -7,6 +7,7 @@ their parent row. A record lies in one row, so grouping happens where it is pars
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import re
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from lumidex.common import persisted, spread
 
 TRIPLES = "id bigint, root string, path string, ordinals array<int>, kind string, value string, node string, parent string"
+#: Paths a task remembers at once.
+MOST_PATHS = 65_536
 ROWS = "id bigint, root string, rel string, ordinals array<int>, parent_rel string, parent_ordinals array<int>, cols map<string,string>, objects array<struct<node:string,parent:string>>"
 
 
@@ -46,6 +49,7 @@ def _number(text: str) -> str:
     return text if math.isinf(value) else repr(value)
 
 
+@functools.lru_cache(65_536)
 def step(key: str) -> str:
     """A key as it stands in a path: with a backslash before what separates there, so that no two keys make one path."""
     return _SPECIAL.sub(r"\\\g<0>", key)
@@ -108,7 +112,7 @@ def walk(root: str, cell: str | None, lists: Collection[str] = (), keep: Collect
                 out[first:last] = [None] * (last - first)
             frame[7], frame[8] = key, len(out)
             if opens or scalars:
-                path, node = f"{own}.{step(key) if _SPECIAL.search(key) else key}", f"{node}.{key}"
+                path, node = f"{own}.{step(key)}", f"{node}.{key}"
         else:
             m = _ELEMENT.match(cell, at)
             if not m:
@@ -163,7 +167,7 @@ def triples(df: DataFrame, roots: list[str], id_col: str = "id", kinds: tuple[st
 
 def nodes(df: DataFrame, roots: list[str], id_col: str = "id") -> DataFrame:
     """(id, node, parent): every object below the top level, with the nearest enclosing object."""
-    grouped = rows(df, roots, id_col, kinds=("object",))
+    grouped = rows(df, roots, id_col, kinds=("object",), objects=True)
     found = grouped.select("id", "root", F.explode("objects").alias("o")).select("id", "root", "o.*")
     return found.filter(F.col("node") != F.col("root")).select("id", "node", "parent")
 
@@ -177,8 +181,53 @@ def relation(path: str) -> tuple[str, str]:
     return path[: at + 2], path[at + 2 :].lstrip(".")
 
 
-def rows(df: DataFrame, roots: list[str], id_col: str = "id", lists: Collection[str] = (), kinds: Collection[str] | None = None) -> DataFrame:
-    """One row per row of the flat tables, with its values in the map `cols` and its objects (node, parent) in `objects`.
+def _place(path: str) -> tuple[str, str, str | None]:
+    """Table and column of a path, and the table of its parent rows."""
+    rel, column = relation(path)
+    return _text(rel), _text(column or "value"), _text(relation(rel[:-2])[0]) if rel.endswith("[]") else None
+
+
+class _Rows:
+    """Rows of flat tables, column by column."""
+
+    def __init__(self):
+        self.id, self.root, self.rel, self.up = [], [], [], []
+        self.own, self.own_ends, self.parent, self.parent_ends = [], [0], [], [0]
+        self.keys, self.values, self.map_ends = [], [], [0]
+        self.nodes, self.parents, self.object_ends = [], [], [0]
+
+    def add(self, i, root: str, rel: str, ordinals: tuple, up: str | None, cols: dict, objects: list[tuple]) -> None:
+        self.id.append(i)
+        self.root.append(root)
+        self.rel.append(rel)
+        self.up.append(up)
+        self.own += ordinals
+        self.own_ends.append(len(self.own))
+        if not ordinals:
+            self.parent_ends[-1] = None  # the top row has no parent
+        self.parent += ordinals[:-1]
+        self.parent_ends.append(len(self.parent))
+        self.keys += cols
+        self.values += map(_text, cols.values())
+        self.map_ends.append(len(self.keys))
+        for node, parent in objects:
+            self.nodes.append(_text(node))
+            self.parents.append(_text(parent))
+        self.object_ends.append(len(self.nodes))
+
+    def batch(self) -> pa.RecordBatch:
+        text = lambda x: pa.array(x, pa.string())
+        ends = lambda x: pa.array(x, pa.int32())
+        pairs = pa.StructArray.from_arrays([text(self.nodes), text(self.parents)], ["node", "parent"])
+        columns = [
+            pa.array(self.id, pa.int64()), text(self.root), text(self.rel), pa.ListArray.from_arrays(ends(self.own_ends), ends(self.own)), text(self.up),
+            pa.ListArray.from_arrays(ends(self.parent_ends), ends(self.parent)), pa.MapArray.from_arrays(ends(self.map_ends), text(self.keys), text(self.values)), pa.ListArray.from_arrays(ends(self.object_ends), pairs),
+        ]
+        return pa.record_batch(columns, names=["id", "root", "rel", "ordinals", "parent_rel", "parent_ordinals", "cols", "objects"])
+
+
+def rows(df: DataFrame, roots: list[str], id_col: str = "id", lists: Collection[str] = (), kinds: Collection[str] | None = None, objects: bool = False) -> DataFrame:
+    """One row per row of the flat tables, with its values in the map `cols` and, if asked for, its objects (node, parent) in `objects`.
 
     rel is the table (the repeated ancestor's path), ordinals the row's key within id,
     parent_rel and parent_ordinals the parent row; elements of lists of scalars, and
@@ -188,26 +237,30 @@ def rows(df: DataFrame, roots: list[str], id_col: str = "id", lists: Collection[
     values read, as for triples.
     """
     keep = frozenset(kinds) if kinds else None
-    pair = pa.struct([("node", pa.string()), ("parent", pa.string())])
-    schema = _schema([("id", pa.int64()), ("root", pa.string()), ("rel", pa.string()), ("ordinals", pa.list_(pa.int32())), ("parent_rel", pa.string()), ("parent_ordinals", pa.list_(pa.int32())), ("cols", pa.map_(pa.string(), pa.string())), ("objects", pa.list_(pair))])
 
     def kernel(batches):
+        known: dict[str, tuple] = {}  # what a path says of its rows: table, column, the parent's table
         for batch in batches:
-            out = []
+            out = _Rows()
             for i, root, cell in _records(batch, roots):
                 tables: dict[tuple, tuple[dict, list]] = {}
                 for path, ordinals, kind, value, node, parent in walk(root, cell, lists, keep):
-                    rel, column = relation(path)
-                    cols, objects = tables.setdefault((rel, ordinals), ({}, []))
+                    if path not in known:
+                        if len(known) == MOST_PATHS:
+                            known.clear()
+                        known[path] = _place(path)
+                    rel, column, _ = place = known[path]
+                    held = tables.get((rel, ordinals))
+                    if held is None:
+                        held = tables[rel, ordinals] = ({}, [], place)
                     if kind == "object":
-                        objects.append({"node": _text(node), "parent": _text(parent)})
+                        if objects:
+                            held[1].append((node, parent))
                     elif value is not None:
-                        cols[_text(column or "value")] = _text(value)
-                for (rel, ordinals), (cols, objects) in tables.items():
-                    up = relation(rel[:-2])[0] if ordinals else None
-                    out.append((i, root, _text(rel), ordinals, _text(up), ordinals[:-1] if ordinals else None, list(cols.items()), objects))
-            columns = zip(*out) if out else [[] for _ in schema]
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                        held[0][column] = value
+                for (rel, ordinals), (cols, own, place) in tables.items():
+                    out.add(i, root, rel, ordinals, place[2], cols, own)
+            yield out.batch()
 
     cells = df.select(F.col(id_col).cast("bigint").alias("id"), *[F.col(r).cast("string").alias(r) for r in roots])
     return spread(cells).mapInArrow(kernel, ROWS)
