@@ -9,6 +9,7 @@ language with the greatest share decides; its lead over the next gives the confi
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 
 import numpy as np
@@ -40,6 +41,7 @@ GRAMS = (3, 4, 5)
 LEAST_WORDS = 4
 
 _WORD = regex.compile(r"\p{L}{2,}")
+_ASCII_WORD = re.compile("[a-z]{2,}")
 _FORMAT = regex.compile(r"\p{Cf}+")
 _LINE = regex.compile(r"\r?\n")
 
@@ -58,9 +60,18 @@ def segments(text: str | None) -> list[str]:
 
 def words(line: str) -> list[str]:
     """Runs of two or more letters, in lower case, compatibility forms as usual letters and without format characters."""
-    if not line.isascii():
-        line = _FORMAT.sub("", unicodedata.normalize("NFKC", line))
-    return _WORD.findall(line.lower())
+    return counted(line)[0]
+
+
+def counted(line: str) -> tuple[list[str], int]:
+    """words() of a line, and how many runs of two or more letters it has as it is written."""
+    if line.isascii():
+        own = _ASCII_WORD.findall(line.lower())
+        return own, len(own)
+    plain = _FORMAT.sub("", unicodedata.normalize("NFKC", line))
+    low = plain.lower()
+    own = _WORD.findall(low)
+    return own, len(own) if plain == line and len(low) == len(line) else len(_WORD.findall(line))
 
 
 def _grams(word: str) -> list[str]:
@@ -215,8 +226,9 @@ def segment_languages(documents: DataFrame, filters: Filters | None = None) -> D
         judge = shipped.value
         for b in batches:
             parts = [(i, no, line, label) for i, text, label in zip(*(b.column(k).to_pylist() for k in range(3))) for no, line in enumerate(segments(text))]
-            langs, sure = decide(judge.scores([words(line) for _, _, line, _ in parts]))
-            rows = [(i, no, len(_WORD.findall(line)), lang, x, label) for (i, no, line, label), lang, x in zip(parts, langs, sure)]
+            read = [counted(line) for _, _, line, _ in parts]
+            langs, sure = decide(judge.scores([own for own, _ in read]))
+            rows = [(i, no, n, lang, x, label) for (i, no, _, label), (_, n), lang, x in zip(parts, read, langs, sure)]
             columns = zip(*rows) if rows else [[] for _ in schema]
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

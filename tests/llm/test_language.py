@@ -79,3 +79,9 @@ def test_training_shuffles_only_its_sample(spark, tmp_path):
     assert 20 < few["en"] < 90 and 20 < few["de"] < 80
     again = spark.range(500).select(F.lit(1).alias("doc_id"), F.lit("same text").alias("text"), F.lit("en").alias("lang"))
     assert L.sample(again).count() == 1 and L.sample(documents.limit(0)).count() == 0
+
+
+def test_words_are_counted_as_they_are_written():
+    for line in ["The cat, a dog", "İstanbul İI ab", "Ｔｈｅ ﬁn ab­cd x", "dés­accord été", "a b cd", "", "​ab​cd", "ŉab ǰx"]:
+        own, n = L.counted(line)
+        assert n == len(L._WORD.findall(line)) and own == L._WORD.findall(L._FORMAT.sub("", L.unicodedata.normalize("NFKC", line)).lower())

@@ -175,7 +175,7 @@ def test_recall_of_edited_passages_by_a_looser_rule(spark, kind):
 
 @pytest.mark.parametrize(("kind", "length"), [("unchanged", 13), ("unchanged", 34), ("one changed", 34), ("inserted", 34), ("dropped", 34), ("two changed", 60)])
 def test_recall_of_whole_items_by_the_default_rule(spark, kind, length):
-    """An item edited in one place of at least 27 words, or in two of at least 41, keeps 13 equal words."""
+    """An item of at least 26 words edited in one place, or of 39 in two, keeps 13 equal words in a row."""
     assert recall(spark, kind, length, L.Rule()) == 1.0
 
 
