@@ -77,10 +77,12 @@ def _parser() -> argparse.ArgumentParser:
     p = commands.add_parser("package")
     p.add_argument("output")
     p.add_argument("--tiles")
+    p.add_argument("--world", help="picture to cut tiles from where there is no pyramid")
     p = commands.add_parser("serve")
     p.add_argument("--host", default="127.0.0.1")
     p.add_argument("--port", type=int, default=8000)
     p.add_argument("--tiles")
+    p.add_argument("--world", help="picture to cut missing tiles from")
     return parser
 
 
@@ -117,9 +119,9 @@ def _main(spark: SparkSession, args) -> None:
         show(site.write_tiles(cut, args.output, args.force).groupBy("status").count())
         files.write(f"{args.output}/manifest.json", json.dumps({"max_zoom": args.max_zoom}).encode())
     elif args.command == "package":
-        print(json.dumps(packaging.package(catalog.images(), config, args.output, thumbs, helper, args.tiles, pictures.to_jpeg)))
+        print(json.dumps(packaging.package(catalog.images(), config, args.output, thumbs, helper, args.tiles, args.world, pictures.to_jpeg)))
     else:
-        serving.server(serving.Routes(catalog, config, thumbs, args.tiles, helper, pictures.to_jpeg), args.host, args.port).serve_forever()
+        serving.server(serving.Routes(catalog, config, thumbs, args.tiles, helper, pictures.to_jpeg, pictures.fallback_tile(args.world) if args.world else None), args.host, args.port).serve_forever()
 
 
 if __name__ == "__main__":

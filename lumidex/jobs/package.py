@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 
 from lumidex.common import persisted, scratch
 from lumidex.operators import export
+from lumidex.operators.mapview import tile_boxes
 from lumidex.operators.positions import positions
-from lumidex.sources import files, site
+from lumidex.sources import files, pictures, site
 from lumidex.sources.plugins import Helper
 from lumidex.sources.thumbs import Thumbs
 
+#: Depth of the tiles that are cut when there is no pyramid.
+WORLD_ZOOM = 3
 STATE_DDL = "shard bigint, pos int, id bigint, digest string"
 
 
@@ -47,12 +50,14 @@ def write_locations(images: DataFrame, output: str) -> int:
     return n
 
 
-def package(images: DataFrame, config: dict, output: str, thumbs: Thumbs | None = None, helper: Helper = Helper(), tiles: str | None = None, convert: Callable[[bytes], bytes] | None = None, generated: int | None = None) -> dict:
+def package(images: DataFrame, config: dict, output: str, thumbs: Thumbs | None = None, helper: Helper = Helper(), tiles: str | None = None, world: str | None = None, convert: Callable[[bytes], bytes] | None = None, generated: int | None = None) -> dict:
     """Bring the site in `output` up to the catalog; returns counts of what was done.
 
     Originals that are as new as their source are kept, those of vanished pictures deleted.
     Records stay in the shard they had; shards without a change are not written again. The
-    plan is saved last, so a run that ends early is repeated whole by the next.
+    plan is saved last, so a run that ends early is repeated whole by the next. Tiles are
+    copied from the pyramid `tiles`; without one, WORLD_ZOOM levels are cut out of the
+    picture `world`, if that can be read.
     """
     spark = images.sparkSession
     with scratch(spark):
@@ -72,6 +77,10 @@ def package(images: DataFrame, config: dict, output: str, thumbs: Thumbs | None
         files.write(f"{output}/manifest.json", json.dumps(note).encode())
         located = write_locations(images, output)
         depth = site.copy_tiles(spark, tiles, f"{output}/tiles") if tiles else None
+        if depth is None and world and (size := pictures.picture_size(world)):
+            depth = WORLD_ZOOM
+            site.write_tiles(pictures.cut_tiles(tile_boxes(spark, depth, *size), world), f"{output}/tiles", force=True).groupBy("status").count().collect()
+            files.write(f"{output}/tiles/manifest.json", json.dumps({"max_zoom": depth}).encode())
         state = f"{output}/state/run-{time.time_ns():020d}"
         export.positions_in(planned).write.parquet(state)
         return {"originals": statuses, "orphans": len(gone) + len(stale), "shards": written, "locations": located, "max_zoom": depth, "count": note["count"]}

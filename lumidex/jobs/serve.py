@@ -31,8 +31,8 @@ class Routes:
                 return self._rows(search.index(self.catalog.images()))
             if steps == ["api", "locations"]:
                 return self._rows(positions(self.catalog.images()).orderBy("id"))
-            if steps[0] == "tile" and len(steps) == 4 and steps[3].endswith(".jpg") and self.tiles:
-                return self._bytes(site.tile(self.tiles, int(steps[1]), int(steps[2]), int(steps[3].removesuffix(".jpg")), self.fallback))
+            if steps[0] == "tile" and len(steps) == 4 and steps[3].endswith(".jpg") and (self.tiles or self.fallback):
+                return self._bytes(site.tile(self.tiles or "", int(steps[1]), int(steps[2]), int(steps[3].removesuffix(".jpg")), self.fallback))
             row = self.catalog.images().filter(F.col("id") == int(steps[-1]))
             if steps[:-1] == ["api", "image"]:
                 found = export.detail(row).toJSON().first()

@@ -99,7 +99,7 @@ def tile(folder: str, z: int, x: int, y: int, fallback: Callable[[int, int, int]
     """A tile of the pyramid, else what fallback makes for it; None outside the pyramid and where there is neither."""
     if z < 0 or not (0 <= x < 2 ** (z + 1) and 0 <= y < 2**z):
         return None
-    found = files.read(tile_file(folder, z, x, y))
+    found = files.read(tile_file(folder, z, x, y)) if folder else None
     return found if found is not None or fallback is None else fallback(z, x, y)
 
 
