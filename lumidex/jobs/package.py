@@ -5,7 +5,7 @@
     manifest.json       libraries, shard files, number of pictures
     locations.json      positions of pictures
     tiles/              the tile pyramid, if there is one
-    state/              the plan of the last run
+    state/              plan, originals and shards of the last runs, from which the next one tells what to write and to delete
 """
 
 from __future__ import annotations
@@ -30,10 +30,15 @@ WORLD_ZOOM = 3
 STATE_DDL = "shard bigint, pos int, id bigint, digest string"
 
 
+def _last(spark: SparkSession, output: str, kind: str, ddl: str) -> DataFrame:
+    """The table that the last finished run kept under state/; empty before the first."""
+    runs = [n for n in files.names(f"{output}/state") if n.startswith("run-") and files.exists(f"{output}/state/{n}/done")]
+    return spark.read.schema(ddl).parquet(f"{output}/state/{runs[-1]}/{kind}") if runs else spark.createDataFrame([], ddl)
+
+
 def previous_state(spark: SparkSession, output: str) -> DataFrame:
-    """(shard, pos, id, digest) of the last finished run; empty before the first."""
-    runs = [n for n in files.names(f"{output}/state") if n.startswith("run-") and files.exists(f"{output}/state/{n}/_SUCCESS")]
-    return spark.read.schema(STATE_DDL).parquet(f"{output}/state/{runs[-1]}") if runs else spark.createDataFrame([], STATE_DDL)
+    """(shard, pos, id, digest) of the last finished run."""
+    return _last(spark, output, "plan", STATE_DDL)
 
 
 def write_locations(images: DataFrame, output: str) -> int:
@@ -63,16 +68,13 @@ def package(images: DataFrame, config: dict, output: str, thumbs: Thumbs | None
     with scratch(spark):
         roots = {x["name"]: x.get("path", "") for x in config.get("libraries", []) if x.get("name")}
         statuses = {r["status"]: r["count"] for r in persisted(export.copy_originals(images, roots, output, convert, helper.load_image), "originals").groupBy("status").count().collect()}
-        here = spark.createDataFrame([(f"images/{n}",) for n in files.names(f"{output}/images")], "file string")
-        gone = [r["file"] for r in export.orphans(here, images.select(export.original_file().alias("file"))).toLocalIterator()]
+        originals = images.select(export.original_file().alias("file"))
+        gone = persisted(export.orphans(_last(spark, output, "originals", "file string"), originals), "gone")
         records = persisted(export.export_records(images, thumbs.read(images.select("id", "thumb_shard", "thumb_offset", "thumb_length")) if thumbs else None), "records")
         planned = persisted(export.plan(export.digests(records), previous_state(spark, output)), "plan")
         written = export.write_shards(records, planned, output)
-        names = planned.select(export.shard_file(F.col("shard")).alias("file")).distinct()
-        shards = spark.createDataFrame([(n,) for n in files.names(f"{output}/data") if n.startswith("data-")], "file string")
-        stale = [r["file"] for r in export.orphans(shards, names).toLocalIterator()]
-        for name in [*gone, *(f"data/{n}" for n in stale)]:
-            files.delete(f"{output}/{name}")
+        shards = planned.select(F.concat(F.lit("data/"), export.shard_file(F.col("shard"))).alias("file")).distinct()
+        removed = export.delete_files(gone.unionByName(export.orphans(_last(spark, output, "shards", "file string"), shards)), output)
         note = export.manifest(images, planned, int(time.time()) if generated is None else generated, [x.get("name", "") for x in config.get("libraries", [])]).first().asDict()
         files.write(f"{output}/manifest.json", json.dumps(note).encode())
         located = write_locations(images, output)
@@ -82,5 +84,8 @@ def package(images: DataFrame, config: dict, output: str, thumbs: Thumbs | None
             site.write_tiles(pictures.cut_tiles(tile_boxes(spark, depth, *size), world), f"{output}/tiles", force=True).groupBy("status").count().collect()
             files.write(f"{output}/tiles/manifest.json", json.dumps({"max_zoom": depth}).encode())
         state = f"{output}/state/run-{time.time_ns():020d}"
-        export.positions_in(planned).write.parquet(state)
-        return {"originals": statuses, "orphans": len(gone) + len(stale), "shards": written, "locations": located, "max_zoom": depth, "count": note["count"]}
+        export.positions_in(planned).write.parquet(f"{state}/plan")
+        originals.write.parquet(f"{state}/originals")
+        shards.write.parquet(f"{state}/shards")
+        files.write(f"{state}/done", b"")
+        return {"originals": statuses, "orphans": removed, "shards": written, "locations": located, "max_zoom": depth, "count": note["count"]}

@@ -186,9 +186,14 @@ def write_shards(records: DataFrame, planned: DataFrame, output: str) -> int:
     A file is a JSON array in one line, in the order of id. A shard's records, SHARD_LIMIT
     characters or one larger, are laid end to end by one task.
     """
-    existing = records.sparkSession.createDataFrame([(n,) for n in files.names(f"{output}/data")], "file string")
+
+    def absent(frames: Iterator[pd.DataFrame]):
+        for f in frames:
+            yield f[[not files.exists(f"{output}/data/{n}") for n in f["file"]]]
+
     rows = planned.select("id", "dirty", shard_file(F.col("shard")).alias("file"))
-    due = rows.filter("dirty").unionByName(rows.filter(~F.col("dirty")).join(existing, "file", "left_anti"))
+    missing = rows.filter(~F.col("dirty")).select("file").distinct().mapInPandas(absent, "file string")
+    due = rows.filter("dirty").unionByName(rows.filter(~F.col("dirty")).join(missing, "file", "left_semi"))
     cells = due.join(records.select("id", F.to_json(F.struct(*records.columns)).alias("text")), "id", "left").select("file", "id", "text")
 
     def write(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
@@ -199,6 +204,18 @@ def write_shards(records: DataFrame, planned: DataFrame, output: str) -> int:
     return persisted(cells.groupBy("file").applyInPandas(write, "file string, n bigint"), "written").count()
 
 
+def delete_files(names: DataFrame, output: str) -> int:
+    """Delete the files (file) under `output`, on the executors; returns how many."""
+
+    def kernel(frames: Iterator[pd.DataFrame]):
+        for f in frames:
+            for name in f["file"]:
+                files.delete(f"{output}/{name}")
+            yield f
+
+    return names.select("file").mapInPandas(kernel, "file string").count()
+
+
 def write_site(records: DataFrame, planned: DataFrame, output: str) -> None:
     """Write the shards that are due, and the state of the plan beside them."""
     write_shards(records, planned, output)

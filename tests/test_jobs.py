@@ -247,6 +247,10 @@ def test_package_twice_rewrites_only_what_changed(spark, setting, tmp_path, monk
     done = P.package(catalog.images().filter(F.col("id") != gone), config, out, thumbs, generated=9)
     assert done["shards"] == 1 and done["orphans"] == 1 and f"{gone}.jpg" not in files.names(f"{out}/images")
     assert {r["id"] for r in site.shards(spark, out).collect()} == set(own) - {gone}
+    few = catalog.images().filter(F.col("id") == min(own))
+    assert P.package(few, config, out, thumbs)["count"] == 1 and len(files.names(f"{out}/data")) == n - 1  # the shard emptied before is gone, those emptied now are empty files
+    assert P.package(few, config, out, thumbs)["orphans"] == n - 2 and files.names(f"{out}/data") == site.read_manifest(out)["shards"]  # and go with the next run
+    P.package(catalog.images().filter(F.col("id") != gone), config, out, thumbs)
     (tmp_path / "site/data/data-0000.json").unlink()
     assert P.package(catalog.images().filter(F.col("id") != gone), config, out, thumbs)["shards"] == 1
     assert site.locations(spark, out).count() == done["locations"] == 0
