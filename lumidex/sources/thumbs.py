@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lumidex.common import persisted
 from lumidex.operators.diff import compact
-from lumidex.operators.export import next_fit
+from lumidex.operators.export import delete_files, next_fit
 from lumidex.schema import SHARD_LIMIT
 from lumidex.sources import files
 
@@ -30,18 +30,21 @@ class Thumbs:
         self.spark, self.root, self.limit = spark, root.rstrip("/"), limit
 
     def _lists(self) -> list[str]:
-        return [n for n in files.names(self.root) if n.startswith("list-") and files.exists(f"{self.root}/{n}/_SUCCESS")]
+        return [n for n in files.names(f"{self.root}/lists") if files.exists(f"{self.root}/lists/{n}/_SUCCESS")]
 
     def shards(self) -> DataFrame:
         """(shard, file, bytes) of the current shard files."""
         lists = self._lists()
-        return self.spark.read.schema(LIST_DDL).parquet(f"{self.root}/{lists[-1]}") if lists else self.spark.createDataFrame([], LIST_DDL)
+        return self._listed(lists[-1:]) if lists else self.spark.createDataFrame([], LIST_DDL)
+
+    def _listed(self, lists: list[str]) -> DataFrame:
+        return self.spark.read.schema(LIST_DDL).parquet(*[f"{self.root}/lists/{n}" for n in lists])
 
     def _list(self, written: DataFrame) -> None:
         """Make `written` (shard, file, bytes), with the shards it does not name, the current list."""
         written = persisted(written, "shards")
         kept = self.shards().join(written, "shard", "left_anti")
-        kept.unionByName(written).coalesce(1).write.parquet(f"{self.root}/list-{time.time_ns():020d}")
+        kept.unionByName(written).coalesce(1).write.parquet(f"{self.root}/lists/{time.time_ns():020d}")
 
     def append(self, thumbs: DataFrame) -> DataFrame:
         """(id, thumb_shard, thumb_offset, thumb_length) after storing (id, thumb), by next-fit in the order of id after the last shard; null thumbs are left out."""
@@ -101,9 +104,13 @@ class Thumbs:
         return moved.select("id", F.col("shard").alias("thumb_shard"), F.col("new_offset").alias("thumb_offset"), F.col("length").alias("thumb_length"))
 
     def sweep(self) -> list[str]:
-        """Delete the shard files and lists that the current list does not name; returns their names."""
-        known = {r["file"] for r in self.shards().select("file").toLocalIterator()} | set(self._lists()[-1:])
-        gone = [n for n in files.names(self.root) if n.startswith(("thumb-", "list-")) and n not in known]
-        for name in gone:
-            files.delete(f"{self.root}/{name}")
-        return gone
+        """Delete the shard files that only older lists name, on the executors, and those lists; returns the lists' names.
+
+        Older catalog snapshots can't read their thumbnails any more. Files of runs that broke off are in no list and stay.
+        """
+        old = self._lists()[:-1]
+        if old:
+            delete_files(self._listed(old).select("file").distinct().join(self.shards().select("file"), "file", "left_anti"), self.root)
+        for name in old:
+            files.delete(f"{self.root}/lists/{name}")
+        return old
